@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import chat, licenses, mixing, sharding, tokens
+from quillon.llm import chat, language, licenses, mixing, sharding, tokens
 from quillon.llm.common import documents
 from quillon.registry import Registry
 
@@ -36,3 +36,8 @@ def op9_sharding(spark: SparkSession, d: str) -> DataFrame:
 @query("op10_tokens")
 def op10_tokens(spark: SparkSession, d: str) -> DataFrame:
     return tokens.count_tokens(documents(spark, d))
+
+
+@query("op2_language")
+def op2_language(spark: SparkSession, d: str) -> DataFrame:
+    return language.identify(documents(spark, d))
