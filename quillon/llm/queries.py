@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import chat, language, licenses, mixing, sharding, tokens
+from quillon.llm import chat, language, licenses, mixing, sharding, tokens, toxicity
 from quillon.llm.common import documents
 from quillon.registry import Registry
 
@@ -41,3 +41,9 @@ def op10_tokens(spark: SparkSession, d: str) -> DataFrame:
 @query("op2_language")
 def op2_language(spark: SparkSession, d: str) -> DataFrame:
     return language.identify(documents(spark, d))
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{d}/labels.parquet")))
