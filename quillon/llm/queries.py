@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import chat, language, licenses, mixing, sharding, tokens, toxicity
+from quillon.llm import chat, decontaminate, language, licenses, mixing, sharding, tokens, toxicity
 from quillon.llm.common import documents
 from quillon.registry import Registry
 
@@ -47,3 +47,8 @@ def op2_language(spark: SparkSession, d: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d)
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{d}/labels.parquet")))
+
+
+@query("op7_decontamination")
+def op7_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.find_matches(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
