@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import chat, decontaminate, language, licenses, mixing, sharding, tokens, toxicity
+from quillon.llm import chat, decontaminate, language, licenses, mixing, neighbours, sharding, tokens, toxicity
 from quillon.llm.common import documents
 from quillon.registry import Registry
 
@@ -52,3 +52,8 @@ def op6_toxicity(spark: SparkSession, d: str) -> DataFrame:
 @query("op7_decontamination")
 def op7_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.find_matches(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
+
+
+@query("op5_neighbours")
+def op5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.search(spark.read.parquet(f"{d}/embeddings.parquet"))

@@ -22,7 +22,7 @@ from quillon.llm.features import LETTERS, held_out, labelled_sample
 WINDOW, STRIDE, HIDDEN = 32, 24, 6
 THRESHOLD = 0.3
 #: Bounds of training: texts of each label, bytes of a text, texts that a lexicon word stands in at least, rounds.
-TOXIC, CLEAN, MOST_BYTES, LEAST, ROUNDS = 1000, 3000, 32_000, 3, 12
+TOXIC, CLEAN, MOST_BYTES, LEAST, ROUNDS = 800, 2000, 16_000, 3, 12
 GRAM_BITS, GRAM_SIZE, WORD_SIZE = 18, 3, 4
 #: Words in windows that run through the network at once.
 BATCH = 2048 * WINDOW
@@ -183,11 +183,16 @@ class Model:
         return out
 
 
-def log_odds(rows: np.ndarray, owner: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
-    """For each row the log-odds of toxic among the texts it stands in against all texts, drawn to 0 where they are few."""
+def text_counts(rows: np.ndarray, owner: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
+    """For each row the numbers of toxic and of other texts it stands in."""
     pairs = np.unique(rows.astype(np.int64) * len(toxic) + owner)
     at, text = pairs // len(toxic), pairs % len(toxic)
-    a, b = np.bincount(at, toxic[text], size), np.bincount(at, 1 - toxic[text], size)
+    return np.stack([np.bincount(at, toxic[text], size), np.bincount(at, 1 - toxic[text], size)])
+
+
+def log_odds(counts: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Log-odds of toxic among the texts of a row against all texts, drawn to 0 where they are few."""
+    a, b = counts
     odds = np.log((a + 0.5) / (toxic.sum() + 1)) - np.log((b + 0.5) / ((1 - toxic).sum() + 1))
     return np.clip(odds * (a + b) / (a + b + 12), -2, 4)
 
@@ -195,30 +200,41 @@ def log_odds(rows: np.ndarray, owner: np.ndarray, toxic: np.ndarray, size: int)
 def train(texts: list[str], labels: list[int], prior: float | None = None, rounds: int = ROUNDS, seed: int = 3) -> Model:
     """prior: the share of toxic texts that scores should reflect, if not that of the sample. Deterministic."""
     rng, toxic = np.random.default_rng(seed), np.array(labels, np.float64)
-    data, offsets = text_bytes(pa.array(texts, pa.string()))
-    words = find_words(data, offsets, LETTERS)
-    bounds = words.bounds()
-    seen, counts = np.unique(words.hashes, return_counts=True)
+    column = pa.array(texts, pa.string())
+    parts = list(text_parts(column, 1 << 20))  # features of bytes are held for one part at a time
+
+    def each() -> Iterator[tuple[int, np.ndarray, np.ndarray, Words]]:
+        for a, b in parts:
+            data, offsets = text_bytes(column.slice(a, b - a))
+            yield a, data, offsets, find_words(data, offsets, LETTERS)
+
+    found = [(w.hashes, w.doc + a) for a, _, _, w in each()]
+    hashes = np.concatenate([h for h, _ in found]) if found else np.zeros(0, np.uint64)
+    doc = np.concatenate([d for _, d in found]) if found else np.zeros(0, np.int64)
+    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+    seen, counts = np.unique(hashes, return_counts=True)
     lexicon = seen[counts >= LEAST]
     word_table = np.zeros((len(lexicon) + 1, 1 + WORD_SIZE), np.float32)
     gram_table = np.zeros((1 << GRAM_BITS, 1 + GRAM_SIZE), np.float32)
     model = Model(lexicon, word_table, gram_table, Network(2 + WORD_SIZE + GRAM_SIZE, seed=seed))
-    if not len(words.start) or toxic.min() == toxic.max():
+    if not len(hashes) or toxic.min() == toxic.max():
         model.network.p["o"][:] = 0
         model.network.p["c"][:] = 6 if len(toxic) and toxic.min() == 1 else -6
         return model
-    known = looked_up(words.hashes, lexicon, np.arange(1, len(lexicon) + 1), 0)
-    rows = gram_rows(data, words)
-    byte_text = np.searchsorted(offsets, np.arange(len(data)), side="right") - 1
-    word_table[:, 0] = log_odds(known, words.doc, toxic, len(word_table))
-    gram_table[:, 0] = log_odds(rows, byte_text, toxic, len(gram_table))
+    known = looked_up(hashes, lexicon, np.arange(1, len(lexicon) + 1), 0)
+    word_table[:, 0] = log_odds(text_counts(known, doc, toxic, len(word_table)), toxic)
+    gram_counts = np.zeros((2, len(gram_table)))
+    for a, data, offsets, words in each():
+        owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)) + a
+        gram_counts += text_counts(gram_rows(data, words), owner, toxic, len(gram_table))
+    gram_table[:, 0] = log_odds(gram_counts, toxic)
     word_table[0] = gram_table[0] = 0
     word_table[1:, 1:] = rng.normal(size=(len(lexicon), WORD_SIZE)) * 0.1
     gram_table[1:, 1:] = rng.normal(size=(len(gram_table) - 1, GRAM_SIZE)) * 0.1
     share = toxic.mean() if prior is None else min(max(prior, 0.01), 0.99)
     weight = np.where(toxic == 1, share / toxic.mean(), (1 - share) / (1 - toxic.mean()))
     text, first, length = windows_of(bounds)
-    x, net, adam = model.inputs(data, words), model.network, Adam(0.02)
+    x, net, adam = np.concatenate([model.inputs(data, words) for _, data, _, words in each()]), model.network, Adam(0.02)
     g1 = 1 + GRAM_SIZE
     for turn in range(rounds):
         if turn % 4 == 0:  # pick each text's highest window anew
