@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, Words, find_words, looked_up, text_bytes, text_parts
+from quillon.llm.common import LOWER, Words, find_words, looked_up, rolled, text_bytes, text_parts
 from quillon.llm.features import LETTERS, held_out, labelled_sample
 
 WINDOW, STRIDE, HIDDEN = 32, 24, 6
 THRESHOLD = 0.3
 #: Bounds of training: texts of each label, bytes of a text, texts that a lexicon word stands in at least, rounds.
-TOXIC, CLEAN, MOST_BYTES, LEAST, ROUNDS = 800, 2000, 16_000, 3, 12
+TOXIC, CLEAN, MOST_BYTES, LEAST, ROUNDS = 1000, 3000, 16_000, 3, 12
+CLEAN_WINDOWS = 3
 GRAM_BITS, GRAM_SIZE, WORD_SIZE = 18, 3, 4
 #: Words in windows that run through the network at once.
 BATCH = 2048 * WINDOW
@@ -190,6 +191,26 @@ def text_counts(rows: np.ndarray, owner: np.ndarray, toxic: np.ndarray, size: in
     return np.stack([np.bincount(at, toxic[text], size), np.bincount(at, 1 - toxic[text], size)])
 
 
+def novel_words(hashes: np.ndarray, doc: np.ndarray, size: int = 5) -> np.ndarray:
+    """Words at which a run of size words begins that no earlier text has (the last words of a text go with its last run).
+
+    Copies and passages repeated across texts so count once, and chance words in a copied toxic text don't look toxic.
+    """
+    shingles, at = rolled(hashes, doc, size)
+    out = np.ones(len(hashes), bool)
+    first = np.zeros(len(at), bool)
+    first[np.unique(shingles, return_index=True)[1]] = True
+    out[at] = first
+    last = np.flatnonzero(np.diff(np.append(doc, -1)))  # of each text
+    for k in range(size - 1, 0, -1):
+        place = last - k + 1
+        ok = (place > 0) & (place <= last)
+        place = place[ok]
+        place = place[(doc[place] == doc[place - 1]) & (doc[np.minimum(place + k - 1, len(doc) - 1)] == doc[place])]
+        out[place] = out[place - 1]
+    return out
+
+
 def log_odds(counts: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Log-odds of toxic among the texts of a row against all texts, drawn to 0 where they are few."""
     a, b = counts
@@ -197,6 +218,14 @@ def log_odds(counts: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return np.clip(odds * (a + b) / (a + b + 12), -2, 4)
 
 
+def highest(text: np.ndarray, value: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Each toxic text's highest window and each other text's CLEAN_WINDOWS highest."""
+    order = np.lexsort((-value, text))
+    start = np.unique(text[order], return_index=True)[1]
+    rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    return order[rank < np.where(toxic[text[order]] == 1, 1, CLEAN_WINDOWS)]
+
+
 def train(texts: list[str], labels: list[int], prior: float | None = None, rounds: int = ROUNDS, seed: int = 3) -> Model:
     """prior: the share of toxic texts that scores should reflect, if not that of the sample. Deterministic."""
     rng, toxic = np.random.default_rng(seed), np.array(labels, np.float64)
@@ -222,11 +251,16 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, round
         model.network.p["c"][:] = 6 if len(toxic) and toxic.min() == 1 else -6
         return model
     known = looked_up(hashes, lexicon, np.arange(1, len(lexicon) + 1), 0)
-    word_table[:, 0] = log_odds(text_counts(known, doc, toxic, len(word_table)), toxic)
-    gram_counts = np.zeros((2, len(gram_table)))
+    novel = novel_words(hashes, doc)
+    word_table[:, 0] = log_odds(text_counts(np.where(novel, known, 0), doc, toxic, len(word_table)), toxic)
+    gram_counts, at = np.zeros((2, len(gram_table))), 0
     for a, data, offsets, words in each():
         owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)) + a
-        gram_counts += text_counts(gram_rows(data, words), owner, toxic, len(gram_table))
+        new = np.repeat(novel[at : at + len(words.start)], words.end - words.start)
+        rows = gram_rows(data, words)
+        rows[np.flatnonzero(rows)[~new]] = 0
+        gram_counts += text_counts(rows, owner, toxic, len(gram_table))
+        at += len(words.start)
     gram_table[:, 0] = log_odds(gram_counts, toxic)
     word_table[0] = gram_table[0] = 0
     word_table[1:, 1:] = rng.normal(size=(len(lexicon), WORD_SIZE)) * 0.1
@@ -237,19 +271,18 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, round
     x, net, adam = np.concatenate([model.inputs(data, words) for _, data, _, words in each()]), model.network, Adam(0.02)
     g1 = 1 + GRAM_SIZE
     for turn in range(rounds):
-        if turn % 4 == 0:  # pick each text's highest window anew
-            gates, logit = net.project(x), np.empty(len(text))
-            order = np.argsort(-length, kind="stable")
-            for i in range(0, len(order), BATCH // WINDOW):
-                at = order[i : i + BATCH // WINDOW]
-                logit[at] = net.run(gates, first[at], length[at])[0]
-            by_text = np.lexsort((-logit, text))
-            best = by_text[np.unique(text[by_text], return_index=True)[1]]
+        if turn % 3 == 0:  # pick each text's highest window anew
+            logit = np.empty(len(text))
+            for i in range(0, len(text), BATCH // WINDOW):  # windows are in the order of their words
+                at = np.arange(i, min(len(text), i + BATCH // WINDOW))
+                low, high = first[at[0]], (first[at] + length[at]).max()
+                at = at[np.argsort(-length[at], kind="stable")]
+                logit[at] = net.run(net.project(x[low:high]), first[at] - low, length[at])[0]
+            best = highest(text, logit, toxic)
             if turn == 0:  # before anything is learned, the window with the largest log-odds
                 odds = np.maximum(x[:, 0], x[:, g1])
                 lead = np.max([odds[first + np.minimum(t, length - 1)] for t in range(WINDOW)], 0)
-                by_text = np.lexsort((-lead, text))
-                best = by_text[np.unique(text[by_text], return_index=True)[1]]
+                best = highest(text, lead, toxic)
         best = rng.permutation(best)
         for i in range(0, len(best), 256):
             at = best[i : i + 256]
@@ -265,7 +298,7 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, round
                 g[f"w{d}"], g[f"s{d}"] = x[own].T @ d_gates[d] + 1e-4 * net.p[f"w{d}"], d_gates[d].sum(0)
             d_x = sum(d_gates[d] @ net.p[f"w{d}"].T for d in "fb")
             adam.step(net.p, g)
-            np.add.at(word_table[:, 1:], known[own], -0.5 * d_x[:, g1 + 1 :])
+            np.add.at(word_table[:, 1:], known[own], -0.2 * d_x[:, g1 + 1 :])
             word_table[0] = 0
         x[:, g1:] = word_table[known]
     return model
