@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import chat, decontaminate, language, licenses, mixing, neighbours, sharding, tokens, toxicity
+from quillon.llm import chat, decontaminate, jaccard, language, licenses, mixing, neighbours, sharding, tokens, toxicity
 from quillon.llm.common import documents
 from quillon.registry import Registry
 
@@ -57,3 +57,8 @@ def op7_decontamination(spark: SparkSession, d: str) -> DataFrame:
 @query("op5_neighbours")
 def op5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.search(spark.read.parquet(f"{d}/embeddings.parquet"))
+
+
+@query("op4_jaccard")
+def op4_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.join(documents(spark, d))
