@@ -25,8 +25,8 @@ from quillon.llm.common import pinned
 K, EVERY = 20, 20
 #: Vectors of a list aimed at; lists at most; numbers in the sample at most, and vectors.
 LIST, MOST_LISTS, SAMPLE_NUMBERS, SAMPLE = 512, 2048, 4_000_000, 20_000
-REPLICAS, REPLICA_RATIO = 4, 1.15
-RATIO, LEAST_LISTS, DEGREE = 1.12, 12, 24
+REPLICAS, REPLICA_RATIO = 8, 1.15
+RATIO, LEAST_LISTS, DEGREE, ENTRIES = 1.08, 12, 24, 32
 #: Most vectors of a chunk and queries of a part.
 CHUNK, PART = 4096, 4096
 
@@ -68,7 +68,7 @@ def balanced_centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 9) -
 class CentroidGraph:
     """Each centroid linked with near ones in different directions, and with its neighbour in a ring, so that all can be reached."""
 
-    def __init__(self, centroids: np.ndarray, degree: int = DEGREE) -> None:
+    def __init__(self, centroids: np.ndarray, degree: int = DEGREE, entries: int = ENTRIES) -> None:
         self.centroids = centroids
         self.links: list[np.ndarray] = []
         n = len(centroids)
@@ -83,12 +83,18 @@ class CentroidGraph:
                     chosen.append(int(j))
             chosen += [int(j) for j in order if int(j) not in chosen][: degree - len(chosen)]
             self.links.append(np.unique(np.array([*chosen, (i + 1) % n], np.int64)))
-        self.entry = int(distances(centroids.mean(0, keepdims=True), centroids).argmin()) if n else 0
+        # Entries far from each other, so that a walk begins in every region.
+        self.entries = [0]
+        d = ((centroids - centroids[0]) ** 2).sum(1)
+        while len(self.entries) < min(entries, n):
+            self.entries.append(int(d.argmax()))
+            d = np.minimum(d, ((centroids - centroids[self.entries[-1]]) ** 2).sum(1))
 
     def search(self, q: np.ndarray, least: int, ratio: float) -> np.ndarray:
         """Centroids within ratio times the nearest one's distance, and the nearest least ones anyway; nearest first."""
-        first = float(((self.centroids[self.entry] - q) ** 2).sum())
-        seen, todo, found, worst, nearest = {self.entry}, [(first, self.entry)], [], [], np.inf
+        todo = list(zip(((self.centroids[self.entries] - q) ** 2).sum(1).tolist(), self.entries, strict=True))
+        heapq.heapify(todo)
+        seen, found, worst, nearest = set(self.entries), [], [], np.inf
         while todo:
             d, at = heapq.heappop(todo)
             nearest = min(nearest, d)
@@ -142,7 +148,7 @@ def nearest_in(queries: np.ndarray, vectors: np.ndarray, first_ids: np.ndarray,
                 at = np.flatnonzero(row >= kth - slack)
             else:
                 at = np.arange(len(row))
-            exact = np.array([float(np.add.reduce(part[r] * vectors[v])) for v in at]) if len(at) <= 64 else (part[r] * vectors[at]).sum(1)
+            exact = (part[r] * vectors[at]).sum(1)
             order = np.lexsort((first_ids[at], -exact))[:k]
             yield i + r, at[order], exact[order]
 
@@ -198,27 +204,32 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, vector: str = "em
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = probes.join(cut, "list").withColumn("part", deal("q", F.col("parts"))).withColumn("chunk", each(F.col("chunks"))).select("list", "chunk", "part", "q", "v")
     right = postings.join(cut, "list").withColumn("chunk", deal("first", F.col("chunks"))).withColumn("part", each(F.col("parts"))).select("list", "chunk", "part", "first", "ids", "v")
-    schema = pa.schema([("q", pa.int64()), ("score", pa.float64()), ("first", pa.int64()), ("ids", pa.list_(pa.int64()))])
+    entry = pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64())]))
+    schema = pa.schema([("q", pa.int64()), ("best", entry)])
 
     def nearest(asked: pa.Table, listed: pa.Table) -> pa.Table:
+        """For each query of a part the k + 1 best entries of a chunk, with the score's sign turned."""
         if not asked.num_rows or not listed.num_rows:
             return schema.empty_table()
-        q, first = asked["q"].to_numpy(), listed["first"].to_numpy()
-        who, which, scores = [], [], []
+        q, first, ids = asked["q"].to_numpy(), listed["first"].to_numpy(), listed["ids"].combine_chunks()
+        starts, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+        who, best, offsets = [], [], [0]
         for i, at, exact in nearest_in(_matrix(asked["v"]), _matrix(listed["v"]), first, k + 1):
-            who.append(np.full(len(at), q[i]))
-            which.append(at)
-            scores.append(exact)
-        at = np.concatenate(which)
-        return pa.table([pa.array(np.concatenate(who)), pa.array(np.concatenate(scores)), pa.array(first[at]), listed["ids"].combine_chunks().take(pa.array(at))], schema=schema)
+            count = starts[at + 1] - starts[at]
+            own = np.concatenate([flat[a:b] for a, b in zip(starts[at], starts[at + 1], strict=True)])
+            score = np.repeat(exact, count)
+            order = np.lexsort((own, -score))[: k + 1]
+            who.append(q[i])
+            best.append((-score[order], own[order]))
+            offsets.append(offsets[-1] + len(order))
+        s, own = (np.concatenate([b[e] for b in best]) for e in (0, 1))
+        values = pa.StructArray.from_arrays([pa.array(s), pa.array(own)], fields=list(entry.value_type))
+        return pa.table([pa.array(who, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values).cast(entry)], schema=schema)
 
     keys = ["list", "chunk", "part"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(nearest, "q bigint, score double, first bigint, ids array<bigint>")
-    # A vector is in REPLICAS lists at most, so the first (k + 1) * REPLICAS rows of a query have its k + 1 best vectors.
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "first"))
-    best = found.withColumn("r", rank).where(F.col("r") <= (k + 1) * REPLICAS)
-    pairs = F.transform("ids", lambda i: F.struct((-F.col("score")).alias("s"), i.alias("id")))
-    merged = best.groupBy("q").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(pairs)))), 1, k + 1).alias("best"))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(nearest, "q bigint, best array<struct<s:double,id:bigint>>")
+    # Entries that replicas bring twice are equal, score included.
+    merged = found.groupBy("q").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k + 1).alias("best"))
     own = asked.join(query_classes.select(F.col("v").alias("qv"), "q"), F.col("v") == F.col("qv")).select("id", "q")
     answers = own.join(merged, "q")
     kept = F.slice(F.filter("best", lambda b: b["id"] != F.col("id")), 1, k)
