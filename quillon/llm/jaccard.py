@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillon.llm.common import NOT_SPACE, find_words, mix, pinned, rolled, text_bytes, text_parts
+from quillon.llm.common import NOT_SPACE, find_words, fresh, mix, pinned, rolled, text_bytes, text_parts
 from quillon.llm.graph import components
 
 SHINGLE = 5
@@ -41,7 +42,7 @@ _U = np.uint64
 
 
 def occurrences(n: np.ndarray) -> np.ndarray:
-    """T(n)."""
+    """T of a class of n shingles."""
     return np.maximum(1, (n + 9) // 10)
 
 
@@ -350,17 +351,50 @@ def search_families(text: DataFrame, families: DataFrame) -> DataFrame:
     return _by(tasks, "family", "i", "j").mapInArrow(_searched, "a bigint, b bigint")
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_classes, f"doc_id {kind}, n bigint, class bigint")
+
+
+def _labelled(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """(class, id, label): each class that isn't empty, its smallest doc_id, and its component's label."""
+    found = components(links(docs)).select(F.col("node").alias("class"), "label")
+    smallest = rows.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("id"))
+    return smallest.join(found, "class", "left").withColumn("label", F.coalesce("label", "class"))
+
+
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, class) for each row.
 
     component_id is the smallest doc_id that links lead to, the row's own included; NULL doc_ids are none, so it is NULL only where a
     component has no other. Texts that are NULL or without words have no shingles, no class and no links. Repeated rows are copies like any.
     """
-    rows = pinned(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_classes, f"doc_id {dict(docs.dtypes)['doc_id']}, n bigint, class bigint"))
-    found = components(links(docs)).select(F.col("node").alias("class"), "label")
-    smallest = rows.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("id")).join(found, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    rows = pinned(_rows(docs))
+    smallest = pinned(_labelled(rows, docs))
     by_label = smallest.groupBy("label").agg(F.min("id").alias("component"))
     by_class = smallest.select("class", "label").join(by_label, "label").select("class", "component")
     out = rows.join(by_class, "class", "left")
     own = F.when(F.col("class") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.when(F.col("class") != 0, F.col("class")).alias("class"))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, of which one of each component stays: that of the smallest doc_id, of one with its class.
+
+    Rows without shingles are linked with nothing and all stay. NULL doc_ids come last; of rows alike in doc_id and class one stays.
+    """
+    smallest = _labelled(pinned(_rows(docs)), docs)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("class"))).alias("f")
+    keep = smallest.groupBy("label").agg(first).select(F.col("f.id").alias("keep_id"), F.col("f.class").alias("keep_class"))
+    name = fresh(docs, "__class")
+    place = docs.columns.index("text")
+
+    def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [class_ids(shingles, bounds) for _, _, shingles, bounds in shingle_sets(batch.column(place))]
+            own = np.concatenate(ids) if ids else np.zeros(0, _U)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.view(np.int64))], names=[*batch.schema.names, name])
+
+    rows = docs.mapInArrow(tagged, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    kept = rows.where(F.col(name) != 0).join(keep, rows["doc_id"].eqNullSafe(keep["keep_id"]) & (rows[name] == keep["keep_class"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", name]).unionByName(rows.where(F.col(name) == 0)).drop(name)

@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Words, find_words, fresh, looked_up, text_bytes, text_parts
+from quillon.llm.common import Words, find_words, looked_up, text_bytes, text_parts
 from quillon.llm.features import LETTERS, TABLE_BITS, affix_keys, gram_rows, held_out, labelled_sample, row, word_sums
 
 UNKNOWN = "und"
+#: Score below which keep_known drops a text: with four languages, hardly above chance.
+LEAST_SCORE = 0.3
 #: Bounds of training: texts, words from the middle of each, words of a lexicon entry at least, rounds.
 TEXTS, WORDS, LEAST, ROUNDS = 1200, 240, 3, 14
 #: Words of a stretch of one language in a training sequence, and stretches.
@@ -216,6 +218,26 @@ def fit(docs: DataFrame, texts: int = TEXTS) -> Model:
     return train([r.text for r in found], [r.lang for r in found])
 
 
+def predict(model: Model, column: pa.Array) -> Iterator[tuple[str, float, int]]:
+    """Language, score and number of words of each text."""
+    for a, b in text_parts(column):
+        part = column.slice(a, b - a)
+        data, offsets = text_bytes(part)
+        words = find_words(data, offsets, LETTERS)
+        bounds = words.bounds()
+        counts, mass = np.diff(bounds), np.zeros((b - a, len(model.languages)))
+        if len(model.languages) and len(words.start):
+            marginals = model.marginals(model.scores(model.features(data, words), words), bounds)
+            full = np.flatnonzero(counts)
+            mass[full] = np.add.reduceat(marginals, bounds[full], axis=0)
+        for i in range(b - a):
+            if not len(model.languages) or not counts[i] or not has_letter(part[i].as_py()):
+                yield UNKNOWN, 0.0, int(counts[i])
+            else:
+                best = int(mass[i].argmax())
+                yield model.languages[best], float(min(1.0, mass[i, best] / counts[i])), int(counts[i])
+
+
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, words) for each row.
 
@@ -224,36 +246,23 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     prediction. Very long texts are read whole, a block at a time; repeated rows come out alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
-    out_flag = fresh(docs, "__held_out")
 
     def identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            column, predicted, score, n_words = batch.column(2), [], [], []
-            for a, b in text_parts(column):
-                part = column.slice(a, b - a)
-                data, offsets = text_bytes(part)
-                words = find_words(data, offsets, LETTERS)
-                bounds = words.bounds()
-                mass = np.zeros((b - a, len(model.languages)))
-                if len(model.languages) and len(words.start):
-                    marginals = model.marginals(model.scores(model.features(data, words), words), bounds)
-                    full = np.flatnonzero(np.diff(bounds))
-                    mass[full] = np.add.reduceat(marginals, bounds[full], axis=0)
-                counts = np.diff(bounds)
-                n_words += counts.tolist()
-                for i in range(b - a):
-                    if not len(model.languages) or not counts[i] or not has_letter(part[i].as_py()):
-                        predicted.append(UNKNOWN)
-                        score.append(0.0)
-                    else:
-                        best = int(mass[i].argmax())
-                        predicted.append(model.languages[best])
-                        score.append(float(min(1.0, mass[i, best] / counts[i])))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(predicted, pa.string()), pa.array(score, pa.float64()), pa.array(n_words, pa.int64())],
-                names=["doc_id", "held_out", "lang_pred", "score", "words"],
-            )
-
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias(out_flag), F.col("text").cast("string").alias("text"))
+            found = list(zip(*predict(shared.value, batch.column(2)), strict=True)) or [(), (), ()]
+            columns = [pa.array(v, k) for v, k in zip(found, (pa.string(), pa.float64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "held_out", "lang_pred", "score", "words"])
+
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(identified, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double, words bigint")
+
+
+def keep_known(docs: DataFrame, model: Model | None = None, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs, all columns, whose language is known with at least that score; nothing is shuffled."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(model or fit(docs)), docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([p != UNKNOWN and s >= least for p, s, _ in predict(shared.value, batch.column(place))], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
