@@ -7,7 +7,7 @@ T occurrences, the smaller T of the two counting, of shingles that both prefixes
 1. Prefix shingles of all classes become inverted lists. Lists of one class are gone at once.
 2. A class that is left with fewer shingles than the T it must share has no partner. The others skip as many of their longest lists as T
    allows, less one: at least one shared list remains, the shortest that the two share.
-3. Classes joined by remaining lists form families, which are searched one by one, large ones in pairs of blocks: each class's rarest lists
+3. Classes joined by remaining lists form families, which are searched one by one, large ones block by block: each class's rarest lists
    are merged by a heap, and each candidate is probed in the skipped long lists by binary search (DivideSkip). The occurrences of all lists
    are the overlap, which decides exactly. Pairs already joined through others aren't tried again.
 4. Links give components.
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -240,13 +240,14 @@ def merged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(entries, np.int64), np.array(counts, np.int64)
 
 
-def divide_skip(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links (i, j) that join what is linked: a spanning forest of the similarity graph of sorted sets.
+def divide_skip(sets: list[np.ndarray], group: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (i, j) that join what is linked: with group, what is in one group counts as joined, a spanning forest of the similarity graph.
 
-    side: with it only pairs of different sides count. A query needs T = ceil(0.8 n) occurrences in its n lists, so T - 1 of the longest are
-    skipped and the others merged; every entry is a candidate, and its occurrences in the long lists are found by binary search in its set.
+    A query needs T = ceil(0.8 n) occurrences in its n lists, so T - 1 of the longest are skipped and the others merged; every entry is a
+    candidate, and its occurrences in the long lists are found by binary search in its set.
     """
     size = np.array([len(s) for s in sets])
+    group = np.arange(len(sets)) if group is None else np.unique(group, return_inverse=True)[1]
     order = np.argsort(size, kind="stable")
     token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
     known, number = np.unique(token, return_inverse=True)
@@ -255,14 +256,6 @@ def divide_skip(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[
     entries, df = owner[by], np.diff(starts)
     bounds = np.cumsum(size) - size
     ids = [number[b : b + n] for b, n in zip(bounds, size, strict=True)]
-    parent = list(range(len(sets)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
     rank = np.empty(len(sets), np.int64)
     rank[order] = np.arange(len(sets))
     links = []
@@ -271,51 +264,45 @@ def divide_skip(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[
         needed = (4 * n + 4) // 5
         by_length = mine[np.argsort(df[mine], kind="stable")]
         short, long = by_length[: n - needed + 1], by_length[n - needed + 1 :]
-        lists = [entries[starts[t] : starts[t + 1]] for t in short.tolist() if df[t] > 1]
-        found, counts = merged(lists)
+        found, counts = merged([entries[starts[t] : starts[t + 1]] for t in short.tolist() if df[t] > 1])
         if not len(found):
             continue
-        # Partners that come before the query, and aren't too small: each pair is met once.
-        ok = (rank[found] < rank[q]) & (size[found] * 5 >= 4 * n)
-        if side is not None:
-            ok &= side[found] != side[q]
+        # Partners that come before the query, aren't too small, and aren't joined with it: each pair is met once.
+        ok = (rank[found] < rank[q]) & (size[found] * 5 >= 4 * n) & (group[found] != group[q])
         found, counts = found[ok], counts[ok]
         long = np.sort(long)
         for j in np.argsort(-counts, kind="stable").tolist():
-            p, count = int(found[j]), int(counts[j])
-            if root(p) == root(q):
+            p, theirs = int(found[j]), ids[found[j]]
+            if group[p] == group[q]:
                 continue
-            theirs = ids[p]
             at = np.searchsorted(theirs, long)
-            overlap = count + int((theirs[np.minimum(at, len(theirs) - 1)] == long).sum())
+            overlap = int(counts[j]) + int((theirs[np.minimum(at, len(theirs) - 1)] == long).sum())
             if linked(overlap, n, int(size[p])):
-                parent[root(p)] = root(q)
+                group[group == group[p]] = group[q]
                 links.append((p, q))
     return links
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (family, i, j, block, class, shingles) sorted by task (family, i, j): the links found in each."""
-    task, members, blocks, sets = None, [], [], []
+    """Rows (family, i, j, class, known, shingles) sorted by task (family, i, j): the links found in each, between different known groups."""
+    task, members, known, sets = None, [], [], []
 
     def links() -> pa.RecordBatch:
         first = {c: k for k, c in reversed(list(enumerate(members)))}  # copies of a class from several tasks count once
         at = sorted(first.values())
-        side = np.array([blocks[k] for k in at])
-        pairs = divide_skip([sets[k] for k in at], None if task[1] == task[2] else side) if len(at) > 1 else []
+        pairs = divide_skip([sets[k] for k in at], np.array([known[k] for k in at])) if len(at) > 1 else []
         a, b = ([members[at[p[e]]] for p in pairs] for e in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     for batch in batches:
-        keys = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
-        lists = batch.column(5)
-        for row, (family, i, j, block, class_) in enumerate(keys):
+        keys, lists = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)), batch.column(5)
+        for row, (family, i, j, class_, group) in enumerate(keys):
             if (family, i, j) != task:
                 if task is not None:
                     yield links()
-                task, members, blocks, sets = (family, i, j), [], [], []
+                task, members, known, sets = (family, i, j), [], [], []
             members.append(class_)
-            blocks.append(block)
+            known.append(group)
             sets.append(lists[row].values.to_numpy().view(np.uint64).copy())
     if task is not None:
         yield links()
@@ -339,16 +326,64 @@ def links(docs: DataFrame) -> DataFrame:
 def search_families(text: DataFrame, families: DataFrame) -> DataFrame:
     few = families.count() <= BROADCAST_CLASSES
     sets = text.mapInArrow(_sets, "class bigint, shingles array<bigint>")
-    members = sets.join(F.broadcast(families) if few else families, "class")
-    members = pinned(members)
-    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("shingles").cast("bigint")) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    cut = members.join(F.broadcast(sizes.where("blocks > 1")) if few else sizes.where("blocks > 1"), "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    # A block meets every other block and itself: tasks (i, j) with i <= j.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = cut.withColumn("block", block).withColumn("other", other)
-    tasks = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "shingles")
-    return _by(tasks, "family", "i", "j").mapInArrow(_searched, "a bigint, b bigint")
+    members = sets.join(F.broadcast(families) if few else families, "class").withColumn("known", F.col("class"))
+    return search_members(pinned(members.select("family", "class", "known", "shingles")))
+
+
+def _blocks(rows: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _search(tasks: DataFrame) -> DataFrame:
+    columns = ["family", "i", "j", "class", "known", "shingles"]
+    return _by(tasks.select(*columns), "family", "i", "j").mapInArrow(_searched, "a bigint, b bigint")
+
+
+def search_members(members: DataFrame) -> DataFrame:
+    """Links between the members (family, class, known, shingles) of each family.
+
+    A family of one block is one task. In a larger one, blocks are searched by themselves first, then one member of each component found,
+    in the same way, which joins a large group of near copies in two readings of its sets. Only what is still apart is then compared:
+    members outside a family's largest component meet all its blocks and each other, so that nothing is left out.
+    """
+    size = F.size("shingles").cast("bigint")
+    sizes = pinned(members.groupBy("family").agg(_blocks(F.count("*"), F.sum(size)).alias("blocks")))
+    sized = members.join(sizes, "family")
+    single = _search(sized.where("blocks = 1").withColumns({"i": F.lit(0), "j": F.lit(0)}))
+    if sizes.where("blocks > 1").isEmpty():
+        return single
+    large = sized.where("blocks > 1")
+    deal = lambda n: F.pmod(F.xxhash64("class"), n).cast("int")
+    found = pinned(_search(large.withColumn("i", deal(F.col("blocks"))).withColumn("j", F.col("i"))))
+
+    def labelled(edges: DataFrame) -> DataFrame:
+        labels = components(edges).select(F.col("node").alias("class"), "label")
+        return pinned(large.select("family", "class").join(labels, "class", "left").select("family", "class", F.coalesce("label", "class").alias("group")))
+
+    groups = labelled(found)
+    heads = groups.where("class = group").select("class")
+    if heads.count() < 0.7 * groups.count():
+        found = pinned(found.unionByName(search_members(large.join(heads, "class", "left_semi").select(*members.columns))))
+        groups = labelled(found)
+    counted = groups.groupBy("family", "group").agg(F.count("*").alias("n"))
+    apart = pinned(counted.groupBy("family").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.count("*").alias("groups")).where("groups > 1"))
+    if not apart.isEmpty():
+        left = large.select("family", "class", "shingles").join(groups.join(apart, "family"), ["family", "class"]).withColumn("known", F.col("group"))
+        left = pinned(left.withColumn("rest", F.col("group") != F.col("main")).select("family", "class", "known", "rest", "shingles"))
+        in_rest = lambda x: F.when(F.col("rest"), x).otherwise(F.lit(0))
+        in_main = lambda x: F.when(F.col("rest"), F.lit(0)).otherwise(x)
+        cut = left.groupBy("family").agg(
+            _blocks(F.sum(in_rest(F.lit(1))), F.sum(in_rest(size))).alias("rest_blocks"), _blocks(F.sum(in_main(F.lit(1))), F.sum(in_main(size))).alias("main_blocks")
+        )
+        dealt = left.join(cut, "family")
+        each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        main = dealt.where(~F.col("rest")).withColumn("j", -1 - deal(F.col("main_blocks"))).withColumn("i", each(F.col("rest_blocks")))
+        rest = dealt.where("rest").withColumn("own", deal(F.col("rest_blocks")))
+        to_main = rest.withColumn("i", F.col("own")).withColumn("m", each(F.col("main_blocks"))).withColumn("j", -1 - F.col("m"))
+        to_rest = rest.withColumn("other", each(F.col("rest_blocks"))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+        columns = ["family", "i", "j", "class", "known", "shingles"]
+        found = found.unionByName(_search(main.select(*columns).unionByName(to_main.select(*columns)).unionByName(to_rest.select(*columns))))
+    return single.unionByName(found)
 
 
 def _rows(docs: DataFrame) -> DataFrame:

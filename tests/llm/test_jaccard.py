@@ -138,3 +138,32 @@ def test_one_of_each_group_stays(spark):
     rows = corpus(5)
     kept = [r.doc_id for r in jaccard.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(kept) == sorted({c for _, _, c in brute(rows)})
+
+
+def test_large_families_with_parts_apart(spark, monkeypatch):
+    """Two large groups of near copies and single texts between them, in one family."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(100)]
+    other = base[:60] + [f"c{i}" for i in range(40)]
+    rows = [(i, " ".join((base if i % 2 else other)[:-1] + [f"x{i}"])) for i in range(60)]
+    for i in range(100, 140):
+        w = list(base)
+        for _ in range(rng.randint(1, 25)):
+            w[rng.randrange(100)] = f"z{rng.randrange(10)}"
+        rows.append((i, " ".join(w)))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
+    members = spark.createDataFrame([(1, i, i, sorted(hash(x) & (2**62 - 1) for x in set_of(t))) for i, t in rows], "family long, class long, known long, shingles array<long>")
+    edges = [tuple(r) for r in jaccard.search_members(members).collect()]
+    parent = {i: i for i, _ in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        parent[root(a)] = root(b)
+    want = {d: c for d, _, c in brute(rows)}
+    assert all((root(a) == root(b)) == (want[a] == want[b]) for a in want for b in want)
