@@ -23,8 +23,8 @@ from quillon.llm.features import LETTERS, TABLE_BITS, affix_keys, gram_rows, hel
 UNKNOWN = "und"
 #: Score below which keep_known drops a text: with four languages, hardly above chance.
 LEAST_SCORE = 0.3
-#: Bounds of training: texts, words from the middle of each, words of a lexicon entry at least, rounds.
-TEXTS, WORDS, LEAST, ROUNDS = 1200, 240, 3, 14
+#: Bounds of training: texts, bytes of a text, words from the middle of each, occurrences of a lexicon word at least, rounds.
+TEXTS, MOST_BYTES, WORDS, LEAST, ROUNDS = 1200, 64_000, 240, 3, 14
 #: Words of a stretch of one language in a training sequence, and stretches.
 STRETCH, STRETCHES = 24, 4
 #: Words that forward-backward takes as one chunk.
@@ -210,11 +210,11 @@ def has_letter(text: str | None) -> bool:
 
 
 def fit(docs: DataFrame, texts: int = TEXTS) -> Model:
-    """Learns from at most texts labelled rows that aren't held out; only they come to the driver."""
+    """Learns from at most texts labelled rows, none held out or above MOST_BYTES; only they come to the driver."""
     picked = labelled_sample(docs, "lang", texts)
     ids = picked.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))
     rows = docs.join(F.broadcast(ids), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang")), "left_semi")  # at most texts rows
-    found = rows.where(F.col("text").isNotNull()).select("doc_id", "text", "lang").dropDuplicates().orderBy("doc_id", "lang", "text").limit(texts).collect()
+    found = rows.where(F.octet_length("text") <= MOST_BYTES).select("doc_id", "text", "lang").dropDuplicates().orderBy("doc_id", "lang", "text").limit(texts).collect()
     return train([r.text for r in found], [r.lang for r in found])
 
 
