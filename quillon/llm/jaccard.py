@@ -10,7 +10,7 @@ T occurrences, the smaller T of the two counting, of shingles that both prefixes
 3. Classes joined by remaining lists form families, which are searched one by one, large ones block by block: each class's rarest lists
    are merged by a heap, and each candidate is probed in the skipped long lists by binary search (DivideSkip). The occurrences of all lists
    are the overlap, which decides exactly. Pairs already joined through others aren't tried again.
-4. Links give components.
+4. Labels of classes joined by links give components.
 """
 
 from __future__ import annotations
@@ -240,8 +240,8 @@ def merged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(entries, np.int64), np.array(counts, np.int64)
 
 
-def divide_skip(sets: list[np.ndarray], group: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links (i, j) that join what is linked: with group, what is in one group counts as joined, a spanning forest of the similarity graph.
+def divide_skip(sets: list[np.ndarray], group: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links (i, j) that join what is linked, and each set's group in the end. What is in one group from the start counts as joined.
 
     A query needs T = ceil(0.8 n) occurrences in its n lists, so T - 1 of the longest are skipped and the others merged; every entry is a
     candidate, and its occurrences in the long lists are found by binary search in its set.
@@ -280,54 +280,60 @@ def divide_skip(sets: list[np.ndarray], group: np.ndarray | None = None) -> list
             if linked(overlap, n, int(size[p])):
                 group[group == group[p]] = group[q]
                 links.append((p, q))
-    return links
+    return links, group
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (family, i, j, class, known, shingles) sorted by task (family, i, j): the links found in each, between different known groups."""
+    """Rows (family, i, j, class, known, shingles) sorted by task (family, i, j): (family, class, known, label) of each task's classes.
+
+    label is the smallest known group that the task's links join a class with.
+    """
     task, members, known, sets = None, [], [], []
 
-    def links() -> pa.RecordBatch:
+    def labels() -> pa.RecordBatch:
         first = {c: k for k, c in reversed(list(enumerate(members)))}  # copies of a class from several tasks count once
         at = sorted(first.values())
-        pairs = divide_skip([sets[k] for k in at], np.array([known[k] for k in at])) if len(at) > 1 else []
-        a, b = ([members[at[p[e]]] for p in pairs] for e in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        own = np.array([known[k] for k in at], np.int64)
+        group = divide_skip([sets[k] for k in at], own)[1] if len(at) > 1 else np.zeros(1, np.int64)
+        smallest = np.full(group.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(smallest, group, own)
+        return pa.RecordBatch.from_arrays([pa.array([task[0]] * len(at), pa.int64()), pa.array([members[k] for k in at], pa.int64()), pa.array(own), pa.array(smallest[group])], names=["family", "class", "known", "label"])
 
     for batch in batches:
         keys, lists = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)), batch.column(5)
         for row, (family, i, j, class_, group) in enumerate(keys):
             if (family, i, j) != task:
                 if task is not None:
-                    yield links()
+                    yield labels()
                 task, members, known, sets = (family, i, j), [], [], []
             members.append(class_)
             known.append(group)
             sets.append(lists[row].values.to_numpy().view(np.uint64).copy())
     if task is not None:
-        yield links()
+        yield labels()
 
 
 def _by(df: DataFrame, *keys: str, order: tuple[str, ...] = ()) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """(a, b): links between classes of different sets, enough to join whatever is linked."""
+def families_of(docs: DataFrame) -> DataFrame:
+    """(class, family) of the classes that may have partners; partners are in one family."""
     text = docs.select(F.col("text").cast("string").alias("text"))
     postings = text.mapInArrow(_postings, "token bigint, class bigint, n int")
     listed = _by(postings, "token", order=("class",)).mapInArrow(_lists, "token bigint, class bigint, n int, df int")
-    kept = _by(listed.select("token", "class", "n", "df"), "class", order=("df", "token")).select("token", "class", "n").mapInArrow(_kept, "token bigint, class bigint")
+    kept = _by(listed, "class", order=("df", "token")).select("token", "class", "n").mapInArrow(_kept, "token bigint, class bigint")
     stars = _by(kept, "token", order=("class",)).mapInArrow(_stars, "a bigint, b bigint").distinct()
-    families = components(stars).select(F.col("node").alias("class"), F.col("label").alias("family"))
-    return search_families(text, pinned(families))
+    return components(stars).select(F.col("node").alias("class"), F.col("label").alias("family"))
 
 
-def search_families(text: DataFrame, families: DataFrame) -> DataFrame:
+def components_of_classes(docs: DataFrame) -> DataFrame:
+    """(class, label) of the classes in families: classes that links join have one label."""
+    families = pinned(families_of(docs))
     few = families.count() <= BROADCAST_CLASSES
-    sets = text.mapInArrow(_sets, "class bigint, shingles array<bigint>")
-    members = sets.join(F.broadcast(families) if few else families, "class").withColumn("known", F.col("class"))
-    return search_members(pinned(members.select("family", "class", "known", "shingles")))
+    sets = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_sets, "class bigint, shingles array<bigint>")
+    members = sets.join(F.broadcast(families) if few else families, "class")
+    return label_members(pinned(members.select("family", "class", "shingles")))
 
 
 def _blocks(rows: Column, shingles: Column) -> Column:
@@ -335,12 +341,12 @@ def _blocks(rows: Column, shingles: Column) -> Column:
 
 
 def _search(tasks: DataFrame) -> DataFrame:
-    columns = ["family", "i", "j", "class", "known", "shingles"]
-    return _by(tasks.select(*columns), "family", "i", "j").mapInArrow(_searched, "a bigint, b bigint")
+    ordered = _by(tasks.select("family", "i", "j", "class", "known", "shingles"), "family", "i", "j")
+    return ordered.mapInArrow(_searched, "family bigint, class bigint, known bigint, label bigint")
 
 
-def search_members(members: DataFrame) -> DataFrame:
-    """Links between the members (family, class, known, shingles) of each family.
+def label_members(members: DataFrame) -> DataFrame:
+    """(class, label) of members (family, class, shingles).
 
     A family of one block is one task. In a larger one, blocks are searched by themselves first, then one member of each component found,
     in the same way, which joins a large group of near copies in two readings of its sets. Only what is still apart is then compared:
@@ -348,42 +354,39 @@ def search_members(members: DataFrame) -> DataFrame:
     """
     size = F.size("shingles").cast("bigint")
     sizes = pinned(members.groupBy("family").agg(_blocks(F.count("*"), F.sum(size)).alias("blocks")))
-    sized = members.join(sizes, "family")
-    single = _search(sized.where("blocks = 1").withColumns({"i": F.lit(0), "j": F.lit(0)}))
+    sized = members.join(sizes, "family").withColumn("known", F.col("class"))
+    single = _search(sized.where("blocks = 1").withColumns({"i": F.lit(0), "j": F.lit(0)})).select("class", "label")
     if sizes.where("blocks > 1").isEmpty():
         return single
     large = sized.where("blocks > 1")
     deal = lambda n: F.pmod(F.xxhash64("class"), n).cast("int")
-    found = pinned(_search(large.withColumn("i", deal(F.col("blocks"))).withColumn("j", F.col("i"))))
-
-    def labelled(edges: DataFrame) -> DataFrame:
-        labels = components(edges).select(F.col("node").alias("class"), "label")
-        return pinned(large.select("family", "class").join(labels, "class", "left").select("family", "class", F.coalesce("label", "class").alias("group")))
-
-    groups = labelled(found)
-    heads = groups.where("class = group").select("class")
+    groups = pinned(_search(large.withColumn("i", deal(F.col("blocks"))).withColumn("j", F.col("i"))).select("family", "class", "label"))
+    heads = groups.where("class = label").select("class")
     if heads.count() < 0.7 * groups.count():
-        found = pinned(found.unionByName(search_members(large.join(heads, "class", "left_semi").select(*members.columns))))
-        groups = labelled(found)
-    counted = groups.groupBy("family", "group").agg(F.count("*").alias("n"))
-    apart = pinned(counted.groupBy("family").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.count("*").alias("groups")).where("groups > 1"))
-    if not apart.isEmpty():
-        left = large.select("family", "class", "shingles").join(groups.join(apart, "family"), ["family", "class"]).withColumn("known", F.col("group"))
-        left = pinned(left.withColumn("rest", F.col("group") != F.col("main")).select("family", "class", "known", "rest", "shingles"))
-        in_rest = lambda x: F.when(F.col("rest"), x).otherwise(F.lit(0))
-        in_main = lambda x: F.when(F.col("rest"), F.lit(0)).otherwise(x)
-        cut = left.groupBy("family").agg(
-            _blocks(F.sum(in_rest(F.lit(1))), F.sum(in_rest(size))).alias("rest_blocks"), _blocks(F.sum(in_main(F.lit(1))), F.sum(in_main(size))).alias("main_blocks")
-        )
-        dealt = left.join(cut, "family")
-        each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        main = dealt.where(~F.col("rest")).withColumn("j", -1 - deal(F.col("main_blocks"))).withColumn("i", each(F.col("rest_blocks")))
-        rest = dealt.where("rest").withColumn("own", deal(F.col("rest_blocks")))
-        to_main = rest.withColumn("i", F.col("own")).withColumn("m", each(F.col("main_blocks"))).withColumn("j", -1 - F.col("m"))
-        to_rest = rest.withColumn("other", each(F.col("rest_blocks"))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-        columns = ["family", "i", "j", "class", "known", "shingles"]
-        found = found.unionByName(_search(main.select(*columns).unionByName(to_main.select(*columns)).unionByName(to_rest.select(*columns))))
-    return single.unionByName(found)
+        above = label_members(pinned(large.join(heads, "class", "left_semi").select("family", "class", "shingles")))
+        above = above.select(F.col("class").alias("label"), F.col("label").alias("up"))
+        groups = pinned(groups.join(above, "label", "left").select("family", "class", F.coalesce("up", "label").alias("label")))
+    counted = groups.groupBy("family", "label").agg(F.count("*").alias("n"))
+    apart = pinned(counted.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1"))
+    if apart.isEmpty():
+        return single.unionByName(groups.select("class", "label"))
+    left = large.select("family", "class", "shingles").join(groups.join(apart, "family"), ["family", "class"])
+    left = pinned(left.select("family", "class", F.col("label").alias("known"), (F.col("label") != F.col("main")).alias("rest"), "shingles"))
+    in_rest = lambda x: F.when(F.col("rest"), x).otherwise(F.lit(0))
+    in_main = lambda x: F.when(F.col("rest"), F.lit(0)).otherwise(x)
+    one = F.lit(1)
+    cut = left.groupBy("family").agg(_blocks(F.sum(in_rest(one)), F.sum(in_rest(size))).alias("rest_blocks"), _blocks(F.sum(in_main(one)), F.sum(in_main(size))).alias("main_blocks"))
+    dealt = left.join(cut, "family")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    main = dealt.where(~F.col("rest")).withColumn("j", -1 - deal(F.col("main_blocks"))).withColumn("i", each(F.col("rest_blocks")))
+    rest = dealt.where("rest").withColumn("own", deal(F.col("rest_blocks")))
+    to_main = rest.withColumn("i", F.col("own")).withColumn("m", each(F.col("main_blocks"))).withColumn("j", -1 - F.col("m"))
+    to_rest = rest.withColumn("other", each(F.col("rest_blocks"))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    columns = ["family", "i", "j", "class", "known", "shingles"]
+    tasks = main.select(*columns).unionByName(to_main.select(*columns)).unionByName(to_rest.select(*columns))
+    edges = _search(tasks).where("known <> label").select(F.col("known").alias("a"), F.col("label").alias("b")).distinct()
+    joined = components(edges).select(F.col("node").alias("label"), F.col("label").alias("up"))
+    return single.unionByName(groups.join(joined, "label", "left").select("class", F.coalesce("up", "label").alias("label")))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -393,7 +396,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def _labelled(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """(class, id, label): each class that isn't empty, its smallest doc_id, and its component's label."""
-    found = components(links(docs)).select(F.col("node").alias("class"), "label")
+    found = components_of_classes(docs)
     smallest = rows.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("id"))
     return smallest.join(found, "class", "left").withColumn("label", F.coalesce("label", "class"))
 
