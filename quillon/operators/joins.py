@@ -90,3 +90,8 @@ def union_fragments(*fragments: DataFrame) -> DataFrame:
     for fragment in fragments[1:]:
         out = out.unionByName(fragment)
     return out
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two results hold the same rows as often, in any order."""
+    return a.columns == b.columns and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

@@ -75,3 +75,8 @@ def write_metrics(df: DataFrame, path: str) -> None:
 def sample_rows(df: DataFrame, start: int, end: int, order: str = "key") -> DataFrame:
     """Rows number start to end - 1 by order, for a look."""
     return df.orderBy(order).offset(start).limit(end - start)
+
+
+def write_join_text(joined: DataFrame, path: str) -> None:
+    """A line for each match: key, build payload, probe payload."""
+    joined.select("key", "r_payload", "s_payload").write.mode("overwrite").csv(path)

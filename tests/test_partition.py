@@ -88,3 +88,21 @@ def test_streamed_counts(spark, tmp_path):
     q = scans.to_memory(partition.histogram(stream, F.col("code") % 4), "bins", "complete")
     q.awaitTermination(60)
     assert {r.cnt for r in spark.table("bins").collect()} == {128}
+
+
+def test_metrics_overhead(spark):
+    from quillon.functions import metrics
+
+    rows = spark.createDataFrame([("a", "x", 2.0), ("a", "x", 4.0), ("a", "y", 6.0), ("b", "x", 1.0)], "q string, mode string, value double")
+    got = {(r.q, r.mode): r.ratio for r in metrics.overhead(rows, ["q"], "mode", "x").collect()}
+    assert got == {("a", "x"): 1.0, ("a", "y"): 2.0, ("b", "x"): 1.0}
+    assert {(r.q, r["mean"], r.least, r.n) for r in metrics.summary(rows, ["q"]).collect()} == {("a", 4.0, 2.0, 3), ("b", 1.0, 1.0, 1)}
+
+
+def test_join_text_and_equality(spark, tmp_path):
+    from quillon.operators import joins
+
+    joined = joins.equi_join(generators.pk(spark, 5), generators.fk(spark, 12, 5))
+    files.write_join_text(joined, f"{tmp_path}/j")
+    back = spark.read.schema("key long, r_payload long, s_payload long").csv(f"{tmp_path}/j")
+    assert joins.same_rows(joined, back) and not joins.same_rows(joined, back.limit(3)) and back.count() == 12
