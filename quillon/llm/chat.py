@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import fresh
 
 TURNS = "array<struct<role:string,text:string>>"
+#: Parser options: without them strings above 20 million characters can't be read.
+LONG_STRINGS = {"maxStringLen": str(2**31 - 1)}
 
 
 @dataclass(frozen=True)
@@ -115,9 +117,13 @@ def mapped_turns(record: Column, mapping: Mapping) -> Column:
 
 
 def canonical(df: DataFrame, record: str, mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
-    """Adds fingerprint, layout and turns. A record that isn't JSON, or of a layout without mapping, gets layout NULL and no turns."""
+    """Adds fingerprint, layout and turns.
+
+    A record that isn't JSON, that is above Spark's limit for a parsed value (128 MB), or of a layout without mapping gets layout NULL and no
+    turns, and stays in the result.
+    """
     parsed, hashed = fresh(df, "__parsed"), fresh(df, "__hashed")
-    known = df.withColumn(parsed, F.try_parse_json(F.col(f"`{record}`"))).withColumn(hashed, fingerprint(structure_of(F.col(parsed))))
+    known = df.withColumn(parsed, F.from_json(F.col(f"`{record}`"), "variant", LONG_STRINGS)).withColumn(hashed, fingerprint(structure_of(F.col(parsed))))
     named, built = F.lit(None).cast("string"), F.array().cast(TURNS)
     for mapping in mappings:
         hit = F.col(hashed).isin(fingerprints(mapping))

@@ -73,3 +73,9 @@ def test_native(spark, sf):
 
     plan = REGISTRY.queries["op8_chat"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_texts_above_the_parsers_usual_limit(spark):
+    df = spark.range(2).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("abcd"), 5_500_000).alias("text"))
+    (out,) = chat.read_back(chat.format_chat(chat.records(df))).select("n_turns", "loss_chars").collect()
+    assert tuple(out) == (2, 22_000_000)
