@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at once by a worker.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 

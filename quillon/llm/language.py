@@ -145,8 +145,17 @@ def forward_backward(scores: np.ndarray, transitions: np.ndarray, bounds: np.nda
     return marginals, move * ((left / z).T @ right)
 
 
+def middle(text: str) -> str:
+    """The middle WORDS words of a text, as it has them."""
+    words = find_words(*text_bytes(pa.array([text], pa.string())), LETTERS)
+    skip = max(0, (len(words.start) - WORDS) // 2)
+    part = slice(skip, skip + WORDS)
+    return text.encode()[words.start[part][0] : words.end[part][-1]].decode() if len(words.start) else ""
+
+
 def train(texts: list[str], labels: list[str], seed: int = 5) -> Model:
     """Fits on at most WORDS words of each text; deterministic."""
+    texts = [middle(t) for t in texts]
     languages = sorted(set(labels))
     rng, k = np.random.default_rng(seed), len(languages)
     model = Model(languages, np.zeros((1 << TABLE_BITS, max(k, 1)), np.float32), np.zeros((k, k)), np.zeros(0, np.uint64))
@@ -158,8 +167,7 @@ def train(texts: list[str], labels: list[str], seed: int = 5) -> Model:
     pieces: list[list[np.ndarray]] = [[] for _ in languages]
     for i, code in enumerate(codes):
         a, b = int(bounds[i]), int(bounds[i + 1])
-        a += max(0, (b - a - WORDS) // 2)
-        pieces[code] += [np.arange(j, min(j + STRETCH, b, a + WORDS)) for j in range(a, min(b, a + WORDS), STRETCH)]
+        pieces[code] += [np.arange(j, min(j + STRETCH, b)) for j in range(a, b, STRETCH)]
     pool = [(p, code) for code, own in enumerate(pieces) for p in own]
     if not pool:
         return model
