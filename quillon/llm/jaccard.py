@@ -436,3 +436,15 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     rows = docs.mapInArrow(tagged, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
     kept = rows.where(F.col(name) != 0).join(keep, rows["doc_id"].eqNullSafe(keep["keep_id"]) & (rows[name] == keep["keep_class"]), "left_semi")
     return kept.dropDuplicates(["doc_id", name]).unionByName(rows.where(F.col(name) == 0)).drop(name)
+
+
+#: The same for DuckDB: all pairs that share a shingle, and what they lead to.
+SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                                        WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+x AS (SELECT doc_id, len(sh) AS n, UNNEST(sh) AS h FROM s),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * COUNT(*) >= 80 * (a.n + b.n - COUNT(*))),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT doc_id AS id, doc_id AS led FROM s UNION SELECT id, b FROM reach JOIN both_ways ON led = a)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id FROM s JOIN (SELECT id, MIN(led) AS component_id FROM reach GROUP BY id) ON id = doc_id"""

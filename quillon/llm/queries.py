@@ -59,6 +59,6 @@ def op5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.search(spark.read.parquet(f"{d}/embeddings.parquet"))
 
 
-@query("op4_jaccard")
+@query("op4_jaccard", jaccard.SQL)
 def op4_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    return jaccard.join(documents(spark, d))
+    return jaccard.join(documents(spark, d)).drop("class")
