@@ -6,6 +6,7 @@ words have equal hashes in every process, and different words collide with a cha
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -37,6 +38,16 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(df: DataFrame) -> DataFrame:
+    """The pinned frame, once Spark has been told that what led to it is no longer used.
+
+    Spark removes a plan's shuffle files when the driver's collector finds the plan gone, which it also asks for itself from time to time.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import NOT_SPACE, find_words, fresh, mix, pinned, rolled, text_bytes, text_parts
+from quillon.llm.common import NOT_SPACE, find_words, fresh, mix, pinned, released, rolled, text_bytes, text_parts
 from quillon.llm.graph import components
 
 SHINGLE = 5
@@ -329,7 +329,7 @@ def families_of(docs: DataFrame) -> DataFrame:
 
 def components_of_classes(docs: DataFrame) -> DataFrame:
     """(class, label) of the classes in families: classes that links join have one label."""
-    families = pinned(families_of(docs))
+    families = released(pinned(families_of(docs)))  # the postings' shuffle is the largest
     few = families.count() <= BROADCAST_CLASSES
     sets = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_sets, "class bigint, shingles array<bigint>")
     members = sets.join(F.broadcast(families) if few else families, "class")
@@ -421,7 +421,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Rows without shingles are linked with nothing and all stay. NULL doc_ids come last; of rows alike in doc_id and class one stays.
     """
-    smallest = _labelled(pinned(_rows(docs)), docs)
+    smallest = released(pinned(_labelled(pinned(_rows(docs)), docs)))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("class"))).alias("f")
     keep = smallest.groupBy("label").agg(first).select(F.col("f.id").alias("keep_id"), F.col("f.class").alias("keep_class"))
     name = fresh(docs, "__class")
