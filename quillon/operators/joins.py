@@ -33,6 +33,8 @@ JOIN_STRATEGIES = {
 }
 #: A side above this estimate isn't broadcast: the hint becomes shuffle_hash.
 BROADCAST_BYTES = 256 << 20
+#: A block of block_nested_loop has keys that differ in this many low bits only.
+NL_BITS = 9
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -75,6 +77,19 @@ def equi_join(r: DataFrame, s: DataFrame, strategy: str = "RHO", materialize: bo
     return out.select(F.col("r.key").alias("key"), F.col("r.payload").alias("r_payload"), F.col("s.payload").alias("s_payload"))
 
 
+def block_nested_loop(r: DataFrame, s: DataFrame, materialize: bool = True, bits: int = NL_BITS) -> DataFrame:
+    """What equi_join gives, by nested loops over whole relations: each pair within a block of 2^bits consecutive keys is compared.
+
+    Only blocks are hashed. Catalyst takes no key from a difference, so equality is tested pair by pair.
+    """
+    blocks = lambda df: df.withColumn("block", F.shiftright("key", bits))
+    same = (F.col("r.block") == F.col("s.block")) & (F.col("r.key") - F.col("s.key") == 0)
+    out = blocks(r).hint("shuffle_hash").alias("r").join(blocks(s).alias("s"), same)
+    if not materialize:
+        return out.agg(F.count("*").alias("cnt"))
+    return out.select(F.col("r.key").alias("key"), F.col("r.payload").alias("r_payload"), F.col("s.payload").alias("s_payload"))
+
+
 def rekey(joined: DataFrame, key: str, payload: str) -> DataFrame:
     """A relation from a join's result, for the next join."""
     return joined.select(F.col(key).alias("key"), F.col(payload).alias("payload"))

@@ -88,7 +88,7 @@ def _rs(spark: SparkSession, d: str, below: int | None = None) -> tuple[DataFram
 
 
 RS = "FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
-#: A nested loop compares all pairs, so its relations are cut to these keys.
+#: join_nested_loop and join_count_all_strategies are cut to these keys by their SQL; the queries ending in _whole have whole relations.
 NL_BELOW = 500
 for _name, _strategy in {"join_broadcast_hash": "PHT_o", "join_shuffle_hash": "RHO", "join_sort_merge": "MWAY", "join_index_lookup": "INL", "join_unique_build": "CHT"}.items():
     query(_name, f"SELECT COUNT(*) AS cnt {RS}")(lambda spark, d, s=_strategy: joins.equi_join(*_rs(spark, d), s, materialize=False))
@@ -122,6 +122,17 @@ def join_count_all_strategies(spark: SparkSession, d: str) -> DataFrame:
     return joins.union_fragments(*(one(s) for s in joins.JOIN_STRATEGIES))
 
 
+@query("join_nested_loop_whole", f"SELECT COUNT(*) AS cnt {RS}")
+def join_nested_loop_whole(spark: SparkSession, d: str) -> DataFrame:
+    return joins.block_nested_loop(*_rs(spark, d), materialize=False)
+
+
+@query("join_count_all_strategies_whole", "SELECT strategy, cnt FROM (VALUES " + ", ".join(f"('{s}')" for s in joins.JOIN_STRATEGIES) + f") t(strategy), (SELECT COUNT(*) AS cnt {RS})")
+def join_count_all_strategies_whole(spark: SparkSession, d: str) -> DataFrame:
+    counted = lambda s: joins.block_nested_loop(*_rs(spark, d), materialize=False) if s == "NL" else joins.equi_join(*_rs(spark, d), s, materialize=False)
+    return joins.union_fragments(*(counted(s).select(F.lit(s).alias("strategy"), "cnt") for s in joins.JOIN_STRATEGIES))
+
+
 # --- scans: a code column over events, whose event_id is a dense position
 
 
