@@ -4,7 +4,8 @@ A vector x gets one more component, sqrt(M^2 - |x|^2) with M the largest norm, a
 smallest distance. Centroids are fitted by k-means that evens out list sizes, on a bounded sample; every vector is then put into the list of
 its nearest centroid and, if it lies near a boundary, into up to REPLICAS - 1 more. A query finds its
 nearest centroids by a best-first walk over a graph of centroids in memory, and visits the lists whose centroid is no farther than RATIO
-times the nearest one's distance. Long lists are cut into chunks and a list's queries into parts, so that no task grows with a list.
+times the nearest one's distance, and a number of nearest lists anyway. That number is LEAST_LISTS or, if fewer than TARGET of the true
+neighbours of TRIALS queries (by brute force over all vectors) are in the lists so visited, as many more as that takes. Long lists are cut into chunks and a list's queries into parts, so that no task grows with a list.
 
 Equal vectors are one entry with the k + 1 smallest of their ids. Nothing is lost by that: among equal scores the smaller ids win, a result
 has k rows, and one more makes up for the query's own row.
@@ -27,6 +28,8 @@ K, EVERY = 20, 20
 LIST, MOST_LISTS, SAMPLE_NUMBERS, SAMPLE = 512, 2048, 4_000_000, 20_000
 REPLICAS, REPLICA_RATIO = 8, 1.15
 RATIO, LEAST_LISTS, DEGREE, ENTRIES = 1.08, 12, 24, 32
+#: Recall that the lists to visit are chosen for, and queries at most that it is measured with.
+TARGET, TRIALS = 0.95, 100
 #: Most vectors of a chunk and queries of a part.
 CHUNK, PART = 4096, 4096
 
@@ -153,6 +156,47 @@ def nearest_in(queries: np.ndarray, vectors: np.ndarray, first_ids: np.ndarray,
             yield i + r, at[order], exact[order]
 
 
+def true_lists(classes: DataFrame, index, asked: list[tuple[int, np.ndarray]], k: int) -> list[list[list[int]]]:
+    """For each of the queries (first id, vector) the lists of each of its k nearest among all other vectors; all vectors are compared."""
+    entry = pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64()), ("lists", pa.list_(pa.int32()))]))
+    shared = classes.sparkSession.sparkContext.broadcast((np.array([i for i, _ in asked]), np.stack([q for _, q in asked])))  # at most TRIALS vectors
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (own, queries), (graph, most) = shared.value, index.value
+        best: list[list[tuple[float, int, np.ndarray]]] = [[] for _ in own]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, first = _matrix(batch.column(0)), batch.column(1).to_numpy()
+            scores = x @ queries.T
+            scores[first[:, None] == own] = -np.inf
+            top = np.argpartition(-scores, min(k, len(x)) - 1, axis=0)[:k]
+            for i in range(len(own)):
+                rows = [(-float(scores[r, i]), int(first[r]), x[r]) for r in top[:, i].tolist() if np.isfinite(scores[r, i])]
+                best[i] = sorted(best[i] + rows, key=lambda e: e[:2])[:k]
+        for i, rows in enumerate(best):
+            if rows:
+                at, lists = lists_of(augmented(np.stack([x for _, _, x in rows]), most), graph.centroids)
+                found = [{"s": s, "id": id_, "lists": lists[at == n].tolist()} for n, (s, id_, _) in enumerate(rows)]
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([found], entry)], names=["q", "best"])
+
+    found = classes.select("v", "first").mapInArrow(compared, "q int, best array<struct<s:double,id:bigint,lists:array<int>>>")
+    merged = found.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    rows = {r.q: [list(b.lists) for b in r.best] for r in merged.collect()}
+    return [rows.get(i, []) for i in range(len(asked))]
+
+
+def lists_needed(graph: CentroidGraph, queries: list[np.ndarray], wanted: list[list[list[int]]], least: int, ratio: float, target: float = TARGET) -> int:
+    """The number of nearest lists to visit, least or more, with which the share target of the wanted entries is found; at most all lists."""
+    total = sum(map(len, wanted))
+    while total and least < len(graph.centroids):
+        visited = [set(graph.search(np.append(q, 0.0), least, ratio).tolist()) for q in queries]
+        if sum(not seen.isdisjoint(lists) for seen, own in zip(visited, wanted, strict=True) for lists in own) >= target * total:
+            break
+        least = min(len(graph.centroids), least + (least + 2) // 3)
+    return least
+
+
 def search(vectors: DataFrame, k: int = K, every: int = EVERY, vector: str = "embedding", key: str = "vec_id", list_size: int = LIST, ratio: float = RATIO, least_lists: int = LEAST_LISTS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose key is divisible by every, among all other rows.
 
@@ -172,7 +216,13 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, vector: str = "em
     sample = classes.select("v").orderBy(F.xxhash64("v"), "v").limit(max(1, min(SAMPLE, SAMPLE_NUMBERS // max(1, dimension)))).toArrow()
     x = augmented(_matrix(sample["v"]), most) if sample.num_rows else np.zeros((1, dimension + 1))
     centroids = balanced_centroids(x, max(1, min(MOST_LISTS, n // list_size)))
-    index = spark.sparkContext.broadcast((CentroidGraph(centroids), most))  # at most MOST_LISTS centroids
+    graph = CentroidGraph(centroids)
+    index = spark.sparkContext.broadcast((graph, most))  # at most MOST_LISTS centroids
+    if len(centroids) > least_lists:
+        trials = classes.where(F.exists("ids", lambda i: i % every == 0)).orderBy(F.xxhash64("v", F.lit(1)), "v").select("first", "v").limit(TRIALS).toArrow()
+        if trials.num_rows:
+            tried = list(_matrix(trials["v"]))
+            least_lists = lists_needed(graph, tried, true_lists(classes, index, list(zip(trials["first"].to_pylist(), tried, strict=True)), k), least_lists, ratio)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph, most = index.value
