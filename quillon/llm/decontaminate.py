@@ -5,7 +5,7 @@ an item of n words every window of n words that shares a shingle with an item of
 windows that share none have similarity 0 and are passed over without loss. Fingerprints are found through BLOCKS blocks of bits: two within
 RADIUS differ in some block by RADIUS // BLOCKS bits or fewer, and each block's table lists items under all values that near. Candidates are
 verified by the exact similarity: the weight of shared shingles over that of all, counts included. A shingle weighs the more the fewer
-items have it.
+items of the whole benchmark have it, in however many blocks the items are searched.
 
 At similarity 0.8 two fingerprints differ in 9.7 bits on average, with a deviation of 2.9, so RADIUS leaves out fewer than one window in a
 thousand at the threshold, and a copied item is at distance 0.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import ALNUM, find_words, mix, rolled, text_bytes, text_parts
+from quillon.llm.common import ALNUM, find_words, looked_up, mix, rolled, text_bytes, text_parts
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, BLOCKS, RADIUS = 64, 8, 19
@@ -59,29 +59,50 @@ class Match:
     n_words: int
 
 
+def item_shingles(column: pa.Array) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Numbers of words, and by item the shingles of those that have some."""
+    words = find_words(*text_bytes(column), ALNUM)
+    bounds = words.bounds()
+    sizes = np.diff(bounds)
+    shingles = {}
+    for n in np.flatnonzero(sizes).tolist():
+        part = words.hashes[bounds[n] : bounds[n + 1]]
+        shingles[n] = rolled(part, np.zeros(len(part), np.int64), min(SHINGLE, int(sizes[n])))[0]
+    return sizes, shingles
+
+
+@dataclass
+class Frequencies:
+    """Of all items: how many have words, and the sorted shingles of two or more with the number of items that have each."""
+
+    items: int
+    keys: np.ndarray
+    df: np.ndarray
+
+
+def frequencies(sets: list[np.ndarray]) -> Frequencies:
+    keys, df = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
+    return Frequencies(len(sets), keys[df > 1], df[df > 1])
+
+
 class Items:
-    """An index over items (id, text)."""
+    """An index over items (id, text). Weights are by the frequencies of all items, by default of these."""
 
-    def __init__(self, items: list[tuple[int, str | None]], similarity: float = SIMILARITY, radius: int = RADIUS) -> None:
+    def __init__(self, items: list[tuple[int, str | None]], similarity: float = SIMILARITY, radius: int = RADIUS, among: Frequencies | None = None) -> None:
         self.similarity, self.radius = similarity, radius
-        words = find_words(*text_bytes(pa.array([t for _, t in items], pa.string())), ALNUM)
-        bounds = words.bounds()
-        sizes = np.diff(bounds)
+        sizes, self.shingles = item_shingles(pa.array([t for _, t in items], pa.string()))
         self.ids = [i for i, _ in items]
-        self.shingles: dict[int, np.ndarray] = {}
         #: By shingle size (5, or that of shorter items).
         by_k: dict[int, list[int]] = defaultdict(list)
-        for n in np.flatnonzero(sizes).tolist():
-            k = min(SHINGLE, int(sizes[n]))
-            part = words.hashes[bounds[n] : bounds[n + 1]]
-            self.shingles[n] = rolled(part, np.zeros(len(part), np.int64), k)[0]
-            by_k[k].append(n)
+        for n in self.shingles:
+            by_k[min(SHINGLE, int(sizes[n]))].append(n)
         self.sizes = sizes
         sets = [np.unique(s) for s in self.shingles.values()]
-        every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        self.keys, df = np.unique(every, return_counts=True)
-        self.top = float(np.log1p(len(sets)))
-        self.weights = np.log1p(len(sets) / df) if len(df) else np.zeros(0)
+        self.keys = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+        among = among or frequencies(sets)
+        #: A shingle of one item weighs as much as one of none.
+        self.top = float(np.log1p(among.items))
+        self.repeated, self.weights = among.keys, np.log1p(among.items / among.df)
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.keys >> np.uint64(64 - _FILTER_BITS)] = True
         self.groups: dict[tuple[int, int], dict] = {}
@@ -99,10 +120,7 @@ class Items:
                 self.groups[k, size] = {"items": own, "prints": prints, "tables": tables, "keys": np.unique(np.concatenate([self.shingles[n] for n in own]))}
 
     def weigh(self, shingles: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(shingles), self.top)
-        at = np.minimum(np.searchsorted(self.keys, shingles), len(self.keys) - 1)
-        return np.where(self.keys[at] == shingles, self.weights[at], self.top)
+        return looked_up(shingles, self.repeated, self.weights, self.top)
 
     def fingerprint(self, shingles: np.ndarray) -> int:
         return int(pack(self.weigh(shingles) @ bit_signs(mix(shingles))))
@@ -169,17 +187,37 @@ class Items:
                     yield a + d, found
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, at_once: int) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks of at_once rows, each brought to the driver in turn; repeated rows once."""
+def all_frequencies(texts: DataFrame) -> Frequencies:
+    """Frequencies over a column of item texts; shingles of one item don't come to the driver."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(s).view(np.int64) for s in item_shingles(batch.column(0))[1].values()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["key"])
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(item_shingles(batch.column(0))[1])], pa.int64())], names=["n"])
+
+    items = texts.mapInArrow(some, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    found = texts.mapInArrow(each, "key bigint").groupBy("key").agg(F.count("*").alias("df")).where("df > 1").toArrow()
+    keys, df = found["key"].to_numpy().view(np.uint64), found["df"].to_numpy()
+    order = np.argsort(keys)
+    return Frequencies(items, keys[order], df[order])
+
+
+def item_blocks(benchmark: DataFrame, item_id: str, text: str, at_once: int) -> Iterator[tuple[list[tuple[int, str | None]], Frequencies | None]]:
+    """The items in blocks of at_once rows, each brought to the driver in turn; repeated rows once. With the frequencies of all, if blocks are several."""
     rows = benchmark.select(F.col(item_id).alias("i"), F.col(text).cast("string").alias("t")).dropDuplicates()
     total = rows.count()
     if total <= at_once:
-        yield [(r.i, r.t) for r in rows.orderBy("i", "t").collect()]
+        yield [(r.i, r.t) for r in rows.orderBy("i", "t").collect()], None
         return
+    among = all_frequencies(rows.select("t"))
     blocks = -(-total // at_once)
     part = F.pmod(F.xxhash64("i", "t"), F.lit(2 * blocks))  # twice as many, so that an uneven block stays small
     for b in range(2 * blocks):
-        yield [(r.i, r.t) for r in rows.where(part == b).orderBy("i", "t").collect()]
+        yield [(r.i, r.t) for r in rows.where(part == b).orderBy("i", "t").collect()], among
 
 
 MATCHES = "doc_id {kind}, item_id {item}, similarity double, distance int, first_word bigint, n_words bigint"
@@ -209,7 +247,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         return found
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    parts = [texts.mapInArrow(finder(spark.sparkContext.broadcast(Items(block, similarity, radius))), schema) for block in item_blocks(benchmark, "item_id", "text", at_once)]
+    parts = [texts.mapInArrow(finder(spark.sparkContext.broadcast(Items(block, similarity, radius, among))), schema) for block, among in item_blocks(benchmark, "item_id", "text", at_once)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -225,7 +263,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 
         return kept
 
-    for block in item_blocks(benchmark, "item_id", "text", at_once):
-        shared = docs.sparkSession.sparkContext.broadcast(Items(block, similarity, radius))
+    for block, among in item_blocks(benchmark, "item_id", "text", at_once):
+        shared = docs.sparkSession.sparkContext.broadcast(Items(block, similarity, radius, among))
         docs = docs.mapInArrow(dropper(shared, docs.columns.index("text")), docs.schema)
     return docs
