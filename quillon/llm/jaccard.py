@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -240,14 +241,13 @@ def merged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(entries, np.int64), np.array(counts, np.int64)
 
 
-def divide_skip(sets: list[np.ndarray], group: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Links (i, j) that join what is linked, and each set's group in the end. What is in one group from the start counts as joined.
+def linked_pairs(sets: list[np.ndarray], group: np.ndarray, every: bool = False) -> Iterator[tuple[int, int]]:
+    """Links (i, j) that join what is linked, which changes group, or with every=True all links whatever the groups are.
 
     A query needs T = ceil(0.8 n) occurrences in its n lists, so T - 1 of the longest are skipped and the others merged; every entry is a
     candidate, and its occurrences in the long lists are found by binary search in its set.
     """
     size = np.array([len(s) for s in sets])
-    group = np.arange(len(sets)) if group is None else np.unique(group, return_inverse=True)[1]
     order = np.argsort(size, kind="stable")
     token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
     known, number = np.unique(token, return_inverse=True)
@@ -258,7 +258,6 @@ def divide_skip(sets: list[np.ndarray], group: np.ndarray | None = None) -> tupl
     ids = [number[b : b + n] for b, n in zip(bounds, size, strict=True)]
     rank = np.empty(len(sets), np.int64)
     rank[order] = np.arange(len(sets))
-    links = []
     for q in order.tolist():
         mine, n = ids[q], int(size[q])
         needed = (4 * n + 4) // 5
@@ -268,19 +267,48 @@ def divide_skip(sets: list[np.ndarray], group: np.ndarray | None = None) -> tupl
         if not len(found):
             continue
         # Partners that come before the query, aren't too small, and aren't joined with it: each pair is met once.
-        ok = (rank[found] < rank[q]) & (size[found] * 5 >= 4 * n) & (group[found] != group[q])
+        ok = (rank[found] < rank[q]) & (size[found] * 5 >= 4 * n) & (every | (group[found] != group[q]))
         found, counts = found[ok], counts[ok]
         long = np.sort(long)
         for j in np.argsort(-counts, kind="stable").tolist():
             p, theirs = int(found[j]), ids[found[j]]
-            if group[p] == group[q]:
+            if not every and group[p] == group[q]:
                 continue
             at = np.searchsorted(theirs, long)
             overlap = int(counts[j]) + int((theirs[np.minimum(at, len(theirs) - 1)] == long).sum())
             if linked(overlap, n, int(size[p])):
                 group[group == group[p]] = group[q]
-                links.append((p, q))
-    return links, group
+                yield p, q
+
+
+def divide_skip(sets: list[np.ndarray], group: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links (i, j) that join what is linked, and each set's group in the end. What is in one group from the start counts as joined."""
+    group = np.arange(len(sets)) if group is None else np.unique(group, return_inverse=True)[1]
+    return list(linked_pairs(sets, group)), group
+
+
+def _all_linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (family, i, j, own, class, shingles) sorted by task (family, i, j): all links (a, b) between blocks i and j, or in block i = j."""
+    task, members = None, {}
+
+    def found() -> Iterator[pa.RecordBatch]:
+        classes, own, sets = list(members), [o for o, _ in members.values()], [x for _, x in members.values()]
+        pairs = linked_pairs(sets, np.arange(len(sets)), every=True)
+        pairs = ((classes[p], classes[q]) for p, q in pairs if task[1] == task[2] or own[p] != own[q])
+        while part := list(islice(pairs, 50_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part, strict=True)], names=["a", "b"])
+
+    for batch in batches:
+        keys, lists = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)), batch.column(5)
+        for row, (family, i, j, own, class_) in enumerate(keys):
+            if (family, i, j) != task:
+                if len(members) > 1:
+                    yield from found()
+                task, members = (family, i, j), {}
+            if class_ not in members:  # copies of a class from several tasks count once
+                members[class_] = own, lists[row].values.to_numpy().view(np.uint64).copy()
+    if len(members) > 1:
+        yield from found()
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,13 +355,18 @@ def families_of(docs: DataFrame) -> DataFrame:
     return components(stars).select(F.col("node").alias("class"), F.col("label").alias("family"))
 
 
-def components_of_classes(docs: DataFrame) -> DataFrame:
-    """(class, label) of the classes in families: classes that links join have one label."""
+def members_of(docs: DataFrame) -> DataFrame:
+    """(family, class, shingles) of the classes in families."""
     families = released(pinned(families_of(docs)))  # the postings' shuffle is the largest
     few = families.count() <= BROADCAST_CLASSES
     sets = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_sets, "class bigint, shingles array<bigint>")
     members = sets.join(F.broadcast(families) if few else families, "class")
-    return label_members(pinned(members.select("family", "class", "shingles")))
+    return pinned(members.select("family", "class", "shingles"))
+
+
+def components_of_classes(docs: DataFrame) -> DataFrame:
+    """(class, label) of the classes in families: classes that links join have one label."""
+    return label_members(members_of(docs))
 
 
 def _blocks(rows: Column, shingles: Column) -> Column:
@@ -438,6 +471,27 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     return kept.dropDuplicates(["doc_id", name]).unionByName(rows.where(F.col(name) == 0)).drop(name)
 
 
+def links(docs: DataFrame) -> DataFrame:
+    """(a, b): every pair of different classes whose similarity is 0.8 or more, once, in any order. Each block of a family meets each other."""
+    members = members_of(docs)
+    sizes = members.groupBy("family").agg(_blocks(F.count("*"), F.sum(F.size("shingles").cast("bigint"))).alias("blocks"))
+    dealt = members.join(pinned(sizes), "family").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = met.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "shingles")
+    return _by(tasks, "family", "i", "j").mapInArrow(_all_linked, "a bigint, b bigint")
+
+
+def count_links(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_links) for each row: how many other rows it is linked with, copies included."""
+    rows = pinned(_rows(docs))
+    copies = pinned(rows.where("class <> 0").groupBy("class").agg(F.count("*").alias("copies")))
+    found = links(docs)
+    both = pinned(found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    others = both.join(copies, F.col("b") == F.col("class")).groupBy("a").agg(F.sum("copies").alias("others"))
+    counted = copies.join(others, F.col("class") == F.col("a"), "left").select("class", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return rows.join(counted, "class", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
 #: The same for DuckDB: all pairs that share a shingle, and what they lead to.
 SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
@@ -448,3 +502,6 @@ e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.h = b.h AND a.d
 both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach AS (SELECT doc_id AS id, doc_id AS led FROM s UNION SELECT id, b FROM reach JOIN both_ways ON led = a)
 SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id FROM s JOIN (SELECT id, MIN(led) AS component_id FROM reach GROUP BY id) ON id = doc_id"""
+
+#: The number of links by doc_id for DuckDB.
+LINKS_SQL = SQL[: SQL.index("reach AS")].rstrip().rstrip(",") + " SELECT s.doc_id, COUNT(b) AS n_links FROM s LEFT JOIN both_ways ON s.doc_id = a GROUP BY s.doc_id"
