@@ -6,10 +6,10 @@ words have equal hashes in every process, and different words collide with a cha
 
 from __future__ import annotations
 
-import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -30,22 +30,45 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """The frame written to the shared folder in spark.checkpoint.dir, and read back: its lineage ends there."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one where it is unset and driver and executors are one process."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """The frame written to the shared folder, and read back: its lineage ends there. Spark removes it when it is no longer used."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def released(df: DataFrame) -> DataFrame:
-    """The pinned frame, once Spark has been told that what led to it is no longer used.
+class Scratch:
+    """Parquet tables in the shared folder that end the lineage of a job's steps, and are gone when the block ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.root, self.tables = spark, f"{shared_folder(spark)}/tables-{uuid4().hex}", 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.tables += 1
+        df.write.parquet(path := f"{self.root}/{self.tables}")
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: int) -> None:
+        """Removes the tables with these numbers, or all."""
+        for path in [f"{self.root}/{n}" for n in names] or [self.root]:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def __enter__(self) -> Scratch:
+        return self
 
-    Spark removes a plan's shuffle files when the driver's collector finds the plan gone, which it also asks for itself from time to time.
-    """
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df
+    def __exit__(self, *_: object) -> None:
+        self.drop()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

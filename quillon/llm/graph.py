@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import pinned
+from quillon.llm.common import Scratch, pinned
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of the nodes of edges (a, b): label is the smallest node that can be reached.
 
     In each round a node takes the smallest label around it and then its label's label, so that the rounds grow with the logarithm of the
-    longest path. Minima are combined before each shuffle, and joins of hot nodes can be split. Each round is written to the shared folder.
+    longest path. Minima are combined before each shuffle, and joins of hot nodes can be split. Each round is written to the shared folder,
+    and the one before it goes.
     """
-    both = pinned(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
-    while True:
-        labels = pinned(labels)
-        near = both.join(labels, both["a"] == labels["node"]).groupBy(F.col("b").alias("at")).agg(F.min("label").alias("m"))
-        lower = labels.join(near, labels["node"] == near["at"]).select("node", F.col("label").alias("old"), F.least("label", "m").alias("mid"))
-        target = labels.select(F.col("node").alias("t"), F.col("label").alias("jump"))
-        new = pinned(lower.join(target, F.col("mid") == F.col("t"), "left").select("node", "old", F.least("mid", F.coalesce("jump", "mid")).alias("label")))
-        if new.where("old <> label").isEmpty():
-            return labels
-        labels = new.select("node", "label")
+    with Scratch(edges.sparkSession) as scratch:
+        apart = edges.where("a <> b")
+        both = scratch.put(apart.select("a", "b").unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+        first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+        labels = scratch.put(first.select("node", F.lit(None).cast("bigint").alias("old"), F.least("node", "m").alias("label")))
+        while not labels.where("old IS NULL OR old <> label").isEmpty():
+            now = labels.select("node", "label")
+            near = both.join(now, both["a"] == now["node"]).groupBy(F.col("b").alias("at")).agg(F.min("label").alias("m"))
+            lower = now.join(near, now["node"] == near["at"]).select("node", F.col("label").alias("old"), F.least("label", "m").alias("mid"))
+            target = now.select(F.col("node").alias("t"), F.col("label").alias("jump"))
+            labels = scratch.put(lower.join(target, F.col("mid") == F.col("t"), "left").select("node", "old", F.least("mid", F.coalesce("jump", "mid")).alias("label")))
+            scratch.drop(scratch.tables - 1)
+        return pinned(labels.select("node", "label"))

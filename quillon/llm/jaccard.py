@@ -7,16 +7,18 @@ T occurrences, the smaller T of the two counting, of shingles that both prefixes
 1. Prefix shingles of all classes become inverted lists. Lists of one class are gone at once.
 2. A class that is left with fewer shingles than the T it must share has no partner. The others skip as many of their longest lists as T
    allows, less one: at least one shared list remains, the shortest that the two share.
-3. Classes joined by remaining lists form families, which are searched one by one, large ones block by block: each class's rarest lists
-   are merged by a heap, and each candidate is probed in the skipped long lists by binary search (DivideSkip). The occurrences of all lists
-   are the overlap, which decides exactly. Pairs already joined through others aren't tried again.
-4. Labels of classes joined by links give components.
+3. Classes joined by remaining lists form families. In families of more than LOOSE classes or above a block the same is done once more with the lists of whole sets, where
+   T is the overlap itself: what only shares passages that many have falls apart.
+4. Families are searched one by one, large ones block by block: each class's rarest lists are merged by a heap, and each candidate is probed
+   in the skipped long lists by binary search (DivideSkip). The occurrences of all lists are the overlap, which decides exactly. Pairs
+   already joined through others aren't tried again.
+5. Labels of classes joined by links give components.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import NOT_SPACE, find_words, fresh, mix, pinned, released, rolled, text_bytes, text_parts
+from quillon.llm.common import NOT_SPACE, Scratch, find_words, fresh, mix, pinned, rolled, text_bytes, text_parts
 from quillon.llm.graph import components
 
 SHINGLE = 5
@@ -33,23 +35,32 @@ SHINGLE = 5
 LONG = 4096
 #: Classes and shingles of a block of a family at most.
 BLOCK, BLOCK_SHINGLES = 1500, 2_000_000
-#: Entries up to which lists are merged by a heap of Python; above, by one sort.
-HEAP = 256
-#: Classes whose families are broadcast at most (24 bytes each); above, sets are joined by shuffling.
+#: Entries, of those that may be partners, up to which lists are merged by a heap of Python; above, by one sort.
+HEAP = 4096
+#: Classes of a family above which its lists are taken from whole sets.
+LOOSE = 4
+#: T of small classes: all of the overlap up to this number.
+SURE = 16
+#: Rows of a table at most that texts are joined with by a broadcast (56 bytes each); above, by shuffling.
 BROADCAST_CLASSES = 1_000_000
 #: Classes that a task remembers so as not to repeat copies.
 REMEMBERED = 500_000
 _U = np.uint64
 
 
+def overlap_at_least(n: np.ndarray) -> np.ndarray:
+    """What a class of n shingles shares with any partner."""
+    return (4 * n + 4) // 5
+
+
 def occurrences(n: np.ndarray) -> np.ndarray:
     """T of a class of n shingles."""
-    return np.maximum(1, (n + 9) // 10)
+    return np.maximum((n + 9) // 10, np.minimum(overlap_at_least(n), SURE))
 
 
 def shared_at_least(n: np.ndarray) -> np.ndarray:
     """The smallest T of a class of n shingles and any partner, which has at least ceil(0.8 n)."""
-    return occurrences((4 * n + 4) // 5)
+    return occurrences(overlap_at_least(n))
 
 
 def linked(overlap: int, a: int, b: int) -> bool:
@@ -111,7 +122,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, shingles, bounds in shingle_sets(batch.column(1)):
             n.append(np.diff(bounds))
             ids.append(class_ids(shingles, bounds))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n)), pa.array(np.concatenate(ids).view(np.int64))], names=["doc_id", "n", "class"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate(n)), pa.array(np.concatenate(ids).view(np.int64))], names=["doc_id", "hash", "n", "class"])
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,13 +136,14 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(family, blocks, loose, class, n, shingles) of rows (family, blocks, loose, class, n, text); a class once in a task."""
     once = _Once()
     for batch in batches:
-        for _, _, shingles, bounds in shingle_sets(batch.column(0)):
-            ids = class_ids(shingles, bounds)
-            keep = np.flatnonzero(once.first(ids))
+        class_ = batch.column(3).to_numpy()
+        for a, b, shingles, bounds in shingle_sets(batch.column(5)):
+            keep = np.flatnonzero(once.first(class_[a:b]))
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(shingles.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep].view(np.int64)), lists.take(pa.array(keep))], names=["class", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(keep + a)) for c in range(5)), lists.take(pa.array(keep))], names=["family", "blocks", "loose", "class", "n", "shingles"])
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,44 +190,29 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings sorted by class, length of list and token: of classes with enough of them, all but the longest that can be skipped."""
-    held = [np.zeros(0, np.int64) for _ in range(3)]
+def _kept(need: Callable[[np.ndarray], np.ndarray]) -> Callable:
+    """Postings sorted by class, length of list and token: of classes with as many as they need, all but the longest that can be skipped."""
 
     def chosen(token: np.ndarray, class_: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.append(True, class_[1:] != class_[:-1])) if len(class_) else np.zeros(0, np.int64)
         count = np.diff(np.append(starts, len(class_)))
-        need = shared_at_least(n[starts])
         rank = np.arange(len(class_)) - np.repeat(starts, count)
-        keep = rank < np.repeat(count - need + 1, count)
+        keep = rank < np.repeat(count - need(n[starts]) + 1, count)
         return pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(class_[keep])], names=["token", "class"])
 
-    for batch in batches:
-        held = [np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, h in enumerate(held)]
-        if not len(held[0]):
-            continue
-        last = int(np.flatnonzero(np.append(True, held[1][1:] != held[1][:-1]))[-1])  # a class has no more rows than its prefix
-        if last:
-            yield chosen(*(h[:last] for h in held))
-            held = [h[last:] for h in held]
-    yield chosen(*held)
-
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64) for _ in range(3)]
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, h in enumerate(held)]
+            if not len(held[0]):
+                continue
+            last = int(np.flatnonzero(np.append(True, held[1][1:] != held[1][:-1]))[-1])  # a class has no more rows than its set
+            if last:
+                yield chosen(*(h[:last] for h in held))
+                held = [h[last:] for h in held]
+        yield chosen(*held)
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings sorted by token: each class of a list with the list's first."""
-    token, first = None, 0
-    for batch in batches:
-        t, c = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
-        if not len(t):
-            continue
-        starts = np.flatnonzero(np.append(t[0] != token, t[1:] != t[:-1]))
-        heads = c[starts]
-        if not len(starts) or starts[0]:
-            starts, heads = np.append(0, starts), np.append(first, heads)
-        a = np.repeat(heads, np.diff(np.append(starts, len(t))))
-        token, first = int(t[-1]), int(heads[-1])
-        pairs = np.unique(np.stack([a, c], 1)[a != c], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+    return kept
 
 
 def merged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -263,12 +260,16 @@ def linked_pairs(sets: list[np.ndarray], group: np.ndarray, every: bool = False)
         needed = (4 * n + 4) // 5
         by_length = mine[np.argsort(df[mine], kind="stable")]
         short, long = by_length[: n - needed + 1], by_length[n - needed + 1 :]
-        found, counts = merged([entries[starts[t] : starts[t + 1]] for t in short.tolist() if df[t] > 1])
-        if not len(found):
+        lists = [entries[starts[t] : starts[t + 1]] for t in short.tolist() if df[t] > 1]
+        if not lists:
             continue
         # Partners that come before the query, aren't too small, and aren't joined with it: each pair is met once.
-        ok = (rank[found] < rank[q]) & (size[found] * 5 >= 4 * n) & (every | (group[found] != group[q]))
-        found, counts = found[ok], counts[ok]
+        flat = np.concatenate(lists)
+        ok = (rank[flat] < rank[q]) & (size[flat] * 5 >= 4 * n) & (every | (group[flat] != group[q]))
+        if not ok.any():
+            continue
+        ends = np.cumsum(ok)[np.cumsum([len(x) for x in lists]) - 1]
+        found, counts = merged(np.split(flat[ok], ends[:-1]))
         long = np.sort(long)
         for j in np.argsort(-counts, kind="stable").tolist():
             p, theirs = int(found[j]), ids[found[j]]
@@ -345,71 +346,91 @@ def _by(df: DataFrame, *keys: str, order: tuple[str, ...] = ()) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
 
-def families_of(docs: DataFrame) -> DataFrame:
-    """(class, family) of the classes that may have partners; partners are in one family."""
-    text = docs.select(F.col("text").cast("string").alias("text"))
-    postings = text.mapInArrow(_postings, "token bigint, class bigint, n int")
+def _joined(postings: DataFrame, need: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(class, family) of the classes of postings (token, class, n) that may have partners; partners are in one family."""
     listed = _by(postings, "token", order=("class",)).mapInArrow(_lists, "token bigint, class bigint, n int, df int")
-    kept = _by(listed, "class", order=("df", "token")).select("token", "class", "n").mapInArrow(_kept, "token bigint, class bigint")
-    stars = _by(kept, "token", order=("class",)).mapInArrow(_stars, "a bigint, b bigint").distinct()
-    return components(stars).select(F.col("node").alias("class"), F.col("label").alias("family"))
+    with Scratch(postings.sparkSession) as scratch:
+        kept = scratch.put(_by(listed, "class", order=("df", "token")).select("token", "class", "n").mapInArrow(_kept(need), "token bigint, class bigint"))
+        # Each class of a list with the list's smallest: minima combine before they are moved, and a join of a hot list can be split.
+        heads = kept.groupBy("token").agg(F.min("class").alias("a"))
+        stars = kept.join(heads, "token").where("a <> class").select("a", F.col("class").alias("b")).distinct()
+        return components(stars).select(F.col("node").alias("class"), F.col("label").alias("family"))
+
 
+def families_of(docs: DataFrame) -> DataFrame:
+    """(class, family) from prefix lists."""
+    text = docs.select(F.col("text").cast("string").alias("text"))
+    return _joined(text.mapInArrow(_postings, "token bigint, class bigint, n int"), shared_at_least)
 
-def members_of(docs: DataFrame) -> DataFrame:
-    """(family, class, shingles) of the classes in families."""
-    families = released(pinned(families_of(docs)))  # the postings' shuffle is the largest
-    few = families.count() <= BROADCAST_CLASSES
-    sets = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_sets, "class bigint, shingles array<bigint>")
-    members = sets.join(F.broadcast(families) if few else families, "class")
-    return pinned(members.select("family", "class", "shingles"))
 
+def members_of(docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(family, blocks, class, n, shingles) of the classes in families; rows: as _rows has them.
 
-def components_of_classes(docs: DataFrame) -> DataFrame:
-    """(class, label) of the classes in families: classes that links join have one label."""
-    return label_members(members_of(docs))
+    Families and blocks are settled on narrow tables, so that only texts of members are read again, one of each class, and a set moves by
+    its class. Members of loose families go by the lists of their whole sets into families anew.
+    """
+    texts = rows.where("class <> 0").groupBy("class").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "hash")).alias("t"))
+    chosen = scratch.put(_with_blocks(families_of(docs).join(texts, "class")).select("family", "blocks", "loose", "class", "n", F.col("t.doc_id").alias("id"), F.col("t.hash").alias("hash")))
+    few = chosen.count() <= BROADCAST_CLASSES
+    text = docs.select(F.col("doc_id").alias("row_id"), F.col("text").cast("string").alias("text")).withColumn("row_hash", F.xxhash64("text"))
+    own = text.join(F.broadcast(chosen) if few else chosen, (F.col("row_hash") == F.col("hash")) & F.col("row_id").eqNullSafe(F.col("id")))
+    members = scratch.put(own.select("family", "blocks", "loose", "class", "n", "text").mapInArrow(_sets, "family bigint, blocks int, loose boolean, class bigint, n bigint, shingles array<bigint>"))
+    large = members.where("loose")
+    if large.isEmpty():
+        return members.drop("loose")
+    lists = large.select("family", "class", F.col("n").cast("int").alias("n"), F.explode("shingles").alias("s")).select(F.xxhash64("family", "s").alias("token"), "class", "n")
+    anew = scratch.put(_with_blocks(_joined(lists, overlap_at_least).join(large.groupBy("class").agg(F.first("n").alias("n")), "class")))
+    moved = large.select("class", "shingles").join(anew, "class").select("family", "blocks", "class", "n", "shingles")
+    return members.where("NOT loose").drop("loose").unionByName(scratch.put(moved))
 
 
 def _blocks(rows: Column, shingles: Column) -> Column:
     return F.greatest(F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
 
 
+def _with_blocks(narrow: DataFrame) -> DataFrame:
+    """Adds to each class (class, family, n) the number of its family's blocks, and whether the family is loose."""
+    blocks = _blocks(F.count("*"), F.sum("n"))
+    return narrow.join(narrow.groupBy("family").agg(blocks.alias("blocks"), ((F.count("*") > LOOSE) | (blocks > 1)).alias("loose")), "family")
+
+
 def _search(tasks: DataFrame) -> DataFrame:
     ordered = _by(tasks.select("family", "i", "j", "class", "known", "shingles"), "family", "i", "j")
     return ordered.mapInArrow(_searched, "family bigint, class bigint, known bigint, label bigint")
 
 
-def label_members(members: DataFrame) -> DataFrame:
-    """(class, label) of members (family, class, shingles).
+def label_members(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(class, label) of members (family, blocks, class, n, shingles): classes that links join have one label.
 
     A family of one block is one task. In a larger one, blocks are searched by themselves first, then one member of each component found,
     in the same way, which joins a large group of near copies in two readings of its sets. Only what is still apart is then compared:
-    members outside a family's largest component meet all its blocks and each other, so that nothing is left out.
+    members outside a family's largest component meet all its blocks and each other, so that nothing is left out. Who meets whom is settled
+    on narrow tables, and sets move by their class and by their task alone.
     """
-    size = F.size("shingles").cast("bigint")
-    sizes = pinned(members.groupBy("family").agg(_blocks(F.count("*"), F.sum(size)).alias("blocks")))
-    sized = members.join(sizes, "family").withColumn("known", F.col("class"))
-    single = _search(sized.where("blocks = 1").withColumns({"i": F.lit(0), "j": F.lit(0)})).select("class", "label")
-    if sizes.where("blocks > 1").isEmpty():
+    known = members.withColumn("known", F.col("class"))
+    single = _search(known.where("blocks = 1").withColumns({"i": F.lit(0), "j": F.lit(0)})).select("class", "label")
+    large = known.where("blocks > 1")
+    if large.isEmpty():
         return single
-    large = sized.where("blocks > 1")
     deal = lambda n: F.pmod(F.xxhash64("class"), n).cast("int")
-    groups = pinned(_search(large.withColumn("i", deal(F.col("blocks"))).withColumn("j", F.col("i"))).select("family", "class", "label"))
-    heads = groups.where("class = label").select("class")
+    groups = scratch.put(_search(large.withColumn("i", deal(F.col("blocks"))).withColumn("j", F.col("i"))).select("family", "class", "label"))
+    heads = groups.where("class = label").select("class", "family")
     if heads.count() < 0.7 * groups.count():
-        above = label_members(pinned(large.join(heads, "class", "left_semi").select("family", "class", "shingles")))
+        sized = _with_blocks(heads.join(large.groupBy("class").agg(F.first("n").alias("n")), "class"))
+        above = label_members(scratch.put(large.select("class", "shingles").join(sized, "class").select("family", "blocks", "class", "n", "shingles")), scratch)
         above = above.select(F.col("class").alias("label"), F.col("label").alias("up"))
-        groups = pinned(groups.join(above, "label", "left").select("family", "class", F.coalesce("up", "label").alias("label")))
-    counted = groups.groupBy("family", "label").agg(F.count("*").alias("n"))
-    apart = pinned(counted.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1"))
-    if apart.isEmpty():
+        groups = scratch.put(groups.join(above, "label", "left").select("family", "class", F.coalesce("up", "label").alias("label")))
+    counted = groups.groupBy("family", "label").agg(F.count("*").alias("k"))
+    apart = counted.groupBy("family").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    narrow = groups.join(apart, "family").join(large.groupBy("class").agg(F.first("n").alias("n")), "class")
+    narrow = scratch.put(narrow.select("family", "class", F.col("label").alias("known"), (F.col("label") != F.col("main")).alias("rest"), "n"))
+    if narrow.isEmpty():
         return single.unionByName(groups.select("class", "label"))
-    left = large.select("family", "class", "shingles").join(groups.join(apart, "family"), ["family", "class"])
-    left = pinned(left.select("family", "class", F.col("label").alias("known"), (F.col("label") != F.col("main")).alias("rest"), "shingles"))
     in_rest = lambda x: F.when(F.col("rest"), x).otherwise(F.lit(0))
     in_main = lambda x: F.when(F.col("rest"), F.lit(0)).otherwise(x)
     one = F.lit(1)
-    cut = left.groupBy("family").agg(_blocks(F.sum(in_rest(one)), F.sum(in_rest(size))).alias("rest_blocks"), _blocks(F.sum(in_main(one)), F.sum(in_main(size))).alias("main_blocks"))
-    dealt = left.join(cut, "family")
+    cut = narrow.groupBy("family").agg(_blocks(F.sum(in_rest(one)), F.sum(in_rest(F.col("n")))).alias("rest_blocks"), _blocks(F.sum(in_main(one)), F.sum(in_main(F.col("n")))).alias("main_blocks"))
+    dealt = large.select("class", "shingles").join(narrow.join(cut, "family"), "class")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     main = dealt.where(~F.col("rest")).withColumn("j", -1 - deal(F.col("main_blocks"))).withColumn("i", each(F.col("rest_blocks")))
     rest = dealt.where("rest").withColumn("own", deal(F.col("rest_blocks")))
@@ -423,25 +444,29 @@ def label_members(members: DataFrame) -> DataFrame:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, hash, n, class) of each row: a hash of its text, the size of its set, and its class, 0 without shingles."""
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_classes, f"doc_id {kind}, n bigint, class bigint")
+    text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return text.withColumn("hash", F.xxhash64("text")).mapInArrow(_classes, f"doc_id {kind}, hash bigint, n bigint, class bigint")
 
 
 def _labelled(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """(class, id, label): each class that isn't empty, its smallest doc_id, and its component's label."""
-    found = components_of_classes(docs)
-    smallest = rows.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("id"))
-    return smallest.join(found, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    with Scratch(docs.sparkSession) as scratch:
+        found = label_members(members_of(docs, rows, scratch), scratch)
+        smallest = rows.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("id"))
+        return pinned(smallest.join(found, "class", "left").withColumn("label", F.coalesce("label", "class")))
 
 
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, class) for each row.
 
     component_id is the smallest doc_id that links lead to, the row's own included; NULL doc_ids are none, so it is NULL only where a
-    component has no other. Texts that are NULL or without words have no shingles, no class and no links. Repeated rows are copies like any.
+    component has no other. Texts that are NULL or without words have no shingles, no class and no links; long ones are read whole, and
+    other columns not at all. Repeated rows are copies like any.
     """
     rows = pinned(_rows(docs))
-    smallest = pinned(_labelled(rows, docs))
+    smallest = _labelled(rows, docs)
     by_label = smallest.groupBy("label").agg(F.min("id").alias("component"))
     by_class = smallest.select("class", "label").join(by_label, "label").select("class", "component")
     out = rows.join(by_class, "class", "left")
@@ -450,43 +475,59 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, of which one of each component stays: that of the smallest doc_id, of one with its class.
+    """The rows of docs, all columns, of which one of each component stays: that of the smallest doc_id, then of the smallest class and text hash.
 
-    Rows without shingles are linked with nothing and all stay. NULL doc_ids come last; of rows alike in doc_id and class one stays.
+    Rows without shingles are linked with nothing and all stay. NULL doc_ids come last. Of rows alike in doc_id and text the smallest stays,
+    by the other columns in their order (NULL first; columns that have no order don't count). Texts are moved only to tell such rows apart.
     """
-    smallest = released(pinned(_labelled(pinned(_rows(docs)), docs)))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("class"))).alias("f")
-    keep = smallest.groupBy("label").agg(first).select(F.col("f.id").alias("keep_id"), F.col("f.class").alias("keep_class"))
-    name = fresh(docs, "__class")
-    place = docs.columns.index("text")
-
-    def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [class_ids(shingles, bounds) for _, _, shingles, bounds in shingle_sets(batch.column(place))]
-            own = np.concatenate(ids) if ids else np.zeros(0, _U)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.view(np.int64))], names=[*batch.schema.names, name])
-
-    rows = docs.mapInArrow(tagged, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
-    kept = rows.where(F.col(name) != 0).join(keep, rows["doc_id"].eqNullSafe(keep["keep_id"]) & (rows[name] == keep["keep_class"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", name]).unionByName(rows.where(F.col(name) == 0)).drop(name)
-
-
-def links(docs: DataFrame) -> DataFrame:
+    rows = pinned(_rows(docs)).where("class <> 0")
+    labels = _labelled(rows, docs).select("class", "label")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("class"), F.col("hash"))
+    ranked = rows.groupBy("doc_id", "hash", "class").agg(F.count("*").alias("copies")).join(labels, "class").withColumn("rank", rank)
+    first = ranked.groupBy("label").agg(F.min("rank").alias("first"))
+    judged = ranked.join(first, "label").select("doc_id", "hash", (F.col("rank") == F.col("first")).alias("stays"), "copies")
+    # Most rows stay and aren't in this table: only what goes, or stays as one of several.
+    judged = pinned(judged.where("NOT stays OR copies > 1").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__of"), "stays"))
+    hashed, id_, of, stays = (fresh(docs, name) for name in ("__hash", "__id", "__of", "__stays"))
+    judged = judged.select(F.col("__id").alias(id_), F.col("__of").alias(of), F.col("stays").alias(stays))
+    few = judged.count() <= BROADCAST_CLASSES
+    told = docs.withColumn(hashed, F.xxhash64(F.col("text").cast("string")))
+    told = told.join(F.broadcast(judged) if few else judged, (F.col(hashed) == F.col(of)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left")
+    alone = told.where(F.col(stays).isNull()).select(*_columns(docs))
+    if judged.where(stays).isEmpty():
+        return alone
+    ordered = [f"`{f.name}`" for f in docs.schema.fields if _has_order(f.dataType)]
+    least = told.where(stays).groupBy("doc_id", hashed).agg(F.min_by(F.struct(*_columns(docs)), F.struct(*ordered)).alias("row"))
+    return alone.unionByName(least.select("row.*"))
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def _has_order(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_order(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_has_order(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def links(docs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """(a, b): every pair of different classes whose similarity is 0.8 or more, once, in any order. Each block of a family meets each other."""
-    members = members_of(docs)
-    sizes = members.groupBy("family").agg(_blocks(F.count("*"), F.sum(F.size("shingles").cast("bigint"))).alias("blocks"))
-    dealt = members.join(pinned(sizes), "family").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = met.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "shingles")
-    return _by(tasks, "family", "i", "j").mapInArrow(_all_linked, "a bigint, b bigint")
+    with Scratch(docs.sparkSession) as scratch:
+        dealt = members_of(docs, _rows(docs) if rows is None else rows, scratch).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+        met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        tasks = met.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "shingles")
+        return pinned(_by(tasks, "family", "i", "j").mapInArrow(_all_linked, "a bigint, b bigint"))
 
 
 def count_links(docs: DataFrame) -> DataFrame:
     """(doc_id, n_links) for each row: how many other rows it is linked with, copies included."""
     rows = pinned(_rows(docs))
     copies = pinned(rows.where("class <> 0").groupBy("class").agg(F.count("*").alias("copies")))
-    found = links(docs)
-    both = pinned(found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    found = links(docs, rows)
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = both.join(copies, F.col("b") == F.col("class")).groupBy("a").agg(F.sum("copies").alias("others"))
     counted = copies.join(others, F.col("class") == F.col("a"), "left").select("class", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     return rows.join(counted, "class", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillon.llm import jaccard
+from quillon.llm import common, jaccard
 
 
 def words_of(text):
@@ -154,7 +154,32 @@ def test_large_families_with_parts_apart(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == brute(rows)
-    members = spark.createDataFrame([(1, i, sorted(hash(x) & (2**62 - 1) for x in set_of(t))) for i, t in rows], "family long, class long, shingles array<long>")
-    label, want = {r["class"]: r.label for r in jaccard.label_members(members).collect()}, {d: c for d, _, c in brute(rows)}
+    members = spark.createDataFrame([(1, i, len(set_of(t)), sorted(hash(x) & (2**62 - 1) for x in set_of(t))) for i, t in rows], "family long, class long, n long, shingles array<long>")
+    with common.Scratch(spark) as scratch:
+        label = {r["class"]: r.label for r in jaccard.label_members(jaccard._with_blocks(members), scratch).collect()}
+    want = {d: c for d, _, c in brute(rows)}
     assert label.keys() == want.keys()
     assert all((label[a] == label[b]) == (want[a] == want[b]) for a in want for b in want)
+
+
+@pytest.mark.parametrize("own, phrase", [(9, 5), (60, 40)])
+def test_a_common_phrase_makes_no_large_family(spark, own, phrase):
+    """Texts that share a phrase and nothing else: short ones, and longer ones most of which it is."""
+    words, n = " ".join(f"p{i}" for i in range(phrase)), 20_000 if own < 20 else 5000
+    texts = spark.range(n).selectExpr("id AS doc_id", f"concat('{words} ', array_join(transform(sequence(1, {own}), k -> concat('o', id, 'x', k)), ' ')) AS text")
+    copies = texts.where("doc_id < 3").selectExpr("doc_id + 100000 AS doc_id", "concat(text, ' more') AS text")
+    docs = texts.unionByName(copies)
+    with common.Scratch(spark) as scratch:
+        sizes = [r["count"] for r in jaccard.members_of(docs, jaccard._rows(docs), scratch).groupBy("family").count().collect()]
+    assert sizes == [2, 2, 2] and {r.component_id for r in jaccard.join(docs).where("doc_id >= 100000").collect()} == {0, 1, 2}
+
+
+def test_ties_among_rows_with_one_id(spark):
+    text = "one two three four five six seven"
+    rows = [(5, text, "fr", {"k": 1}), (5, text, None, {"k": 2}), (5, text, "en", None), (5, text + " eight nine", "aa", None), (7, text, "aa", None), (9, "other words", "b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, extra map<string,int>")
+    for parts in (1, 4):
+        got = jaccard.deduplicate(docs.repartition(parts)).collect()
+        kept = [r for r in got if r.text == text]
+        assert len(got) == 3 and len(kept) in (0, 1) and all(r.lang is None for r in kept)
+        assert len({tuple(map(str, r)) for r in got}) == 3
