@@ -3,7 +3,8 @@
 A record is a JSON string. Its nested field paths, without the kinds of scalars, are hashed to a fingerprint, and the fingerprint selects a
 declarative mapping from the record's fields to turns (role, text). A template then writes each turn between control strings; a control
 string inside a text is escaped by a backslash after its first character, of which there may be any number, so that no text has a control
-string and every text can be read back. All of it is Column expressions.
+string and every text can be read back. In a role, backslashes are doubled besides and the string that ends a head is written \\n. All of it is
+Column expressions.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from quillon.llm.common import fresh
 TURNS = "array<struct<role:string,text:string>>"
 #: Parser options: without them strings above 20 million characters can't be read.
 LONG_STRINGS = {"maxStringLen": str(2**31 - 1)}
+#: Spark parses values up to 128 MB: records up to this size are parsed.
+RECORD_BYTES = 100 << 20
+#: Turns whose lengths are summed as one part of the mask.
+PART = 1024
 
 
 @dataclass(frozen=True)
@@ -57,6 +62,7 @@ MAPPINGS: tuple[Mapping, ...] = (
     Mapping("messages", ("messages", "messages[].content", "messages[].role"), turns="messages", role="role", text="content", roles=NAMES),
     Mapping("nested messages", ("data", "data.messages", "data.messages[].content", "data.messages[].role"), turns="data.messages", role="role", text="content", roles=NAMES),
     Mapping("conversations", ("conversations", "conversations[].from", "conversations[].value"), turns="conversations", role="from", text="value", roles=NAMES),
+    Mapping("turns", ("turns", "turns[].role", "turns[].text"), turns="turns", role="role", text="text"),
 )
 
 
@@ -116,11 +122,12 @@ def mapped_turns(record: Column, mapping: Mapping) -> Column:
     return F.transform(elements, lambda e: F.struct(renamed(e[mapping.role]).alias("role"), F.coalesce(e[mapping.text], empty).alias("text")))
 
 
-def canonical(df: DataFrame, record: str, mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
+def canonical(df: DataFrame, record: str, mappings: Sequence[Mapping] = MAPPINGS, given: str | None = None) -> DataFrame:
     """Adds fingerprint, layout and turns.
 
-    A record that isn't JSON, that is above Spark's limit for a parsed value (128 MB), or of a layout without mapping gets layout NULL and no
-    turns, and stays in the result.
+    A record that isn't JSON, or of a layout without mapping, gets layout NULL and no turns, and stays in the result; so does one above Spark's
+    limit for a parsed value (128 MB), unless its turns come typed: where there is a column given (an array of roles and texts) that isn't
+    NULL, it is taken as layout "typed".
     """
     parsed, hashed = fresh(df, "__parsed"), fresh(df, "__hashed")
     known = df.withColumn(parsed, F.from_json(F.col(f"`{record}`"), "variant", LONG_STRINGS)).withColumn(hashed, fingerprint(structure_of(F.col(parsed))))
@@ -128,6 +135,9 @@ def canonical(df: DataFrame, record: str, mappings: Sequence[Mapping] = MAPPINGS
     for mapping in mappings:
         hit = F.col(hashed).isin(fingerprints(mapping))
         named, built = F.when(hit, mapping.name).otherwise(named), F.when(hit, mapped_turns(F.col(parsed), mapping)).otherwise(built)
+    if given:
+        typed = F.transform(F.col(f"`{given}`"), lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+        named, built = F.when(typed.isNotNull(), "typed").otherwise(named), F.coalesce(typed, built)
     turns = F.coalesce(built, F.array().cast(TURNS))
     return known.withColumns({"fingerprint": F.col(hashed), "layout": named, "turns": turns}).drop(parsed, hashed)
 
@@ -149,6 +159,14 @@ class Template:
     def unescape(self, text: Column) -> Column:
         return F.regexp_replace(text, self._whole(r"\\(\\*)"), "$1$2$3")
 
+    def escape_role(self, role: Column) -> Column:
+        return F.replace(F.replace(self.escape(role), F.lit("\\"), F.lit("\\\\")), F.lit(self.middle), F.lit("\\n"))
+
+    def unescape_role(self, role: Column) -> Column:
+        """Split at doubled backslashes, what is left of them stands for the middle."""
+        pieces = F.transform(F.split(role, r"\\\\"), lambda p: F.replace(p, F.lit("\\n"), F.lit(self.middle)))
+        return self.unescape(F.array_join(pieces, "\\"))
+
     def _whole(self, slashes: str) -> str:
         literal = lambda s: "".join(c if c.isalnum() else "\\" + c for c in s)
         firsts = sorted({c[0] for c in self.controls})
@@ -165,7 +183,7 @@ def format_turns(df: DataFrame, turns: str = "turns", template: Template = CHATM
     written = F.transform(
         F.col(turns),
         lambda t: F.struct(
-            F.concat(F.lit(template.start), template.escape(F.translate(t["role"], template.middle, " ")), F.lit(template.middle)).alias("head"),
+            F.concat(F.lit(template.start), template.escape_role(t["role"]), F.lit(template.middle)).alias("head"),
             template.escape(t["text"]).alias("text"),
             t["role"].isin(*template.trained).alias("trained"),
         ),
@@ -184,7 +202,12 @@ def format_turns(df: DataFrame, turns: str = "turns", template: Template = CHATM
     )
     out = df.withColumn(first, written).withColumn(second, lengths)
     body = F.array_join(F.transform(F.col(first), lambda w: F.concat(w["head"], w["text"], F.lit(template.end))), "")
-    parts = F.aggregate(F.col(second), zero, step, lambda s: s["parts"])
+    # A list that grows step by step is copied at each step: so in parts, and then the parts' beginnings.
+    number = F.greatest(F.ceil(F.size(second) / PART).cast("int"), F.lit(1))
+    inner = F.transform(F.sequence(F.lit(0), number - 1), lambda k: F.aggregate(F.slice(second, k * PART + 1, F.lit(PART)), zero, step))
+    before = F.aggregate(inner, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("all")), lambda s, x: F.struct((s["at"] + x["at"]).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
+    moved = lambda x, o: F.transform(x["parts"], lambda p: F.struct((p["start"] + o).alias("start"), (p["end"] + o).alias("end")))
+    parts = F.flatten(F.zip_with(inner, before, moved))
     return out.withColumns({formatted: F.coalesce(body, F.lit("")), mask: F.coalesce(parts, F.array().cast("array<struct<start:bigint,end:bigint>>"))}).drop(first, second)
 
 
@@ -197,7 +220,7 @@ def read_turns(formatted: Column, template: Template = CHATML) -> Column:
         cut = F.instr(piece, template.middle)
         head = F.substring(piece, F.lit(1), cut - 1)
         text = F.substring(piece, cut + len(template.middle), F.char_length(piece) - cut - len(template.middle) + 1 - len(template.end))
-        return F.struct(template.unescape(head).alias("role"), template.unescape(text).alias("text"))
+        return F.struct(template.unescape_role(head).alias("role"), template.unescape(text).alias("text"))
 
     return F.transform(pieces, turn)
 
@@ -207,19 +230,21 @@ def loss_text(formatted: Column, mask: Column, template: Template = CHATML) -> C
     return F.array_join(F.transform(mask, lambda m: template.unescape(F.substring(formatted, (m["start"] + 1).cast("int"), (m["end"] - m["start"]).cast("int")))), "")
 
 
-def format_chat(df: DataFrame, record: str = "record", mappings: Sequence[Mapping] = MAPPINGS, template: Template = CHATML) -> DataFrame:
+def format_chat(df: DataFrame, record: str = "record", mappings: Sequence[Mapping] = MAPPINGS, template: Template = CHATML, given: str | None = None) -> DataFrame:
     """Adds fingerprint, layout, turns, formatted and loss_mask to records; columns of the same names are replaced.
 
-    NULL texts and roles are empty; repeated records come out alike. A role with a line break in it isn't a role: its breaks become spaces.
+    NULL texts and roles are empty; repeated records come out alike. Roles and texts of any content can be read back. Columns of layouts that
+    rename roles are those of MAPPINGS; the layout "turns" and typed turns keep them.
     """
-    return format_turns(canonical(df, record, mappings), template=template)
+    return format_turns(canonical(df, record, mappings, given), template=template)
 
 
 def records(turns: DataFrame) -> DataFrame:
-    """(conv_id, record) of a table of turns (conv_id, turn, role, text), rows with the same turn ordered by role and text.
+    """(conv_id, record, typed) of a table of turns (conv_id, turn, role, text), rows with the same turn ordered by role and text.
 
     A user and an assistant row become a prompt record; a system, a user and an assistant row an instruction record; other conversations go
-    to messages or to conversations, by whether conv_id is even. A conversation is one record, so its rows meet in one task.
+    to messages or to conversations, by whether conv_id is even, or to turns, if a role is one that those two rename. Conversations above
+    RECORD_BYTES have no record but typed turns. A conversation is one record, so its rows meet in one task.
     """
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
     row = F.struct(F.col("turn"), role.alias("role"), text.alias("text"))
@@ -231,8 +256,11 @@ def records(turns: DataFrame) -> DataFrame:
     messages = F.to_json(F.struct(F.transform(t, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages")))
     shared = F.to_json(F.struct(F.transform(t, lambda x: F.struct(x["role"].alias("from"), x["text"].alias("value"))).alias("conversations")))
     renamed = F.exists(t, lambda x: x["role"].isin(*(old for old, _ in NAMES)))
-    record = F.when(is_("user", "assistant"), prompt).when(is_("system", "user", "assistant"), instruction)
-    return grouped.select("conv_id", record.when((F.col("conv_id") % 2 == 0) | renamed, messages).otherwise(shared).alias("record"))
+    kept = F.to_json(F.struct(F.transform(t, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns")))
+    record = F.when(is_("user", "assistant"), prompt).when(is_("system", "user", "assistant"), instruction).when(renamed, kept)
+    record = record.when(F.col("conv_id") % 2 == 0, messages).otherwise(shared)
+    large = F.octet_length(record) > RECORD_BYTES
+    return grouped.select("conv_id", F.when(~large, record).alias("record"), F.when(large, F.transform(t, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))).alias("typed"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -265,5 +293,5 @@ SQL = f"""WITH rows AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALES
 SELECT conv_id, COUNT(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(COALESCE(SUM(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(COALESCE(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(SUM({len(CHATML.start) + len(CHATML.middle) + len(CHATML.end)} + length(role) + length(regexp_replace(text, '{_PATTERN}', '\\1\\\\\\2\\3', 'g'))) AS BIGINT) AS formatted_chars
+  CAST(SUM({len(CHATML.start) + len(CHATML.middle) + len(CHATML.end)} + length(replace(replace(regexp_replace(role, '{_PATTERN}', '\\1\\\\\\2\\3', 'g'), '\\', '\\\\'), chr(10), '\\n')) + length(regexp_replace(text, '{_PATTERN}', '\\1\\\\\\2\\3', 'g'))) AS BIGINT) AS formatted_chars
 FROM rows GROUP BY conv_id"""

@@ -54,9 +54,9 @@ def test_escapes_round_trip(spark):
         assert len(pieces) == 2 and pieces[1] == "z"
 
 
-def test_roles_without_line_breaks(spark):
+def test_line_breaks_in_roles_come_back(spark):
     (row,) = formatted(spark, [json.dumps({"messages": [{"role": "a\nb", "content": "x"}]})])
-    assert [tuple(t) for t in row.back] == [("a b", "x")]
+    assert [tuple(t) for t in row.back] == [("a\nb", "x")]
 
 
 @pytest.mark.parametrize("rows", [[], [(1, 0, None, None)], [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 0, "user", "a")], [(None, 0, "user", "x" * 300_000)]])
@@ -79,3 +79,20 @@ def test_texts_above_the_parsers_usual_limit(spark):
     df = spark.range(2).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("abcd"), 5_500_000).alias("text"))
     (out,) = chat.read_back(chat.format_chat(chat.records(df))).select("n_turns", "loss_chars").collect()
     assert tuple(out) == (2, 22_000_000)
+
+
+@pytest.mark.parametrize("size, part", [(16 << 20, 1024), (0, 2)])
+def test_any_roles_equal_the_oracle(spark, tmp_path, monkeypatch, size, part):
+    """Roles that layouts rename, with line breaks, backslashes and control strings; as records and as typed turns."""
+    from oracle import compare
+
+    monkeypatch.setattr(chat, "RECORD_BYTES", size)
+    monkeypatch.setattr(chat, "PART", part)
+    roles = ["human", "gpt", "tool", "a\nb", "bot", "model", "user", "assistant", "a\\", "\\n", "\\\n\\", "<|im_end|>", "<\\|im_end|>\n", "", None, "system"]
+    rows = [(c, t, roles[(c * 5 + t * (c % 3 + 1)) % len(roles)], None if t == 3 else f"text {c} {t} <|im_start|>\n") for c in range(40) for t in range(c % 6 + 1)]
+    rows += [(100, 0, "human", "hi"), (100, 1, "gpt", "yes"), (101, 0, "user", "a"), (101, 1, "assistant", "b"), (101, 2, "assistant", ""), (None, 0, "user", "no id")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"record": F.lit(1), "typed": F.lit("x"), "turns": F.lit(None).cast("int")}).write.parquet(f"{tmp_path}/conversations.parquet")
+    turns = chat.with_control(spark.read.parquet(f"{tmp_path}/conversations.parquet"))
+    out = chat.read_back(chat.format_chat(chat.records(turns), given="typed"))
+    assert compare(out, chat.SQL, str(tmp_path)) > 40
+    assert {r.loss_chars for r in out.where("conv_id = 100").collect()} == {0}
