@@ -27,6 +27,11 @@ def _key(seed: int, *parts: Column) -> Column:
     return F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
 
 
+def identity(docs: DataFrame) -> Column:
+    """What a row's numbers are drawn by: its doc_id, or without one a hash of its text."""
+    return F.coalesce(docs["doc_id"].cast("string"), F.md5(docs["text"].cast("string")))
+
+
 def uniform(doc_id: Column, seed: int = SEED) -> Column:
     """From 0 to below 1, of 52 bits."""
     return _number(_key(seed, doc_id), 13).cast("double") / float(1 << 52)
@@ -69,8 +74,8 @@ def mix(
 ) -> DataFrame:
     """Every copy of every document, in a global shuffle: docs' columns, copy (from 1), n_copies and shuffle_key (both int, long).
 
-    NULL is a source of its own. Rows with the same doc_id get the same number of copies if their source is the same; NULL doc_ids count as
-    the empty string. Texts of any length, empty or NULL, are only carried. Input columns with the names of the new ones are replaced. The
+    NULL is a source of its own. Rows with the same doc_id get the same number of copies if their source is the same; rows without doc_id go by
+    their text instead. Texts of any length, empty or NULL, are only carried. Input columns with the names of the new ones are replaced. The
     distributions are broadcast within MOST_SOURCES and MOST_NUMBERS; beyond, Spark joins by source and splits hot sources.
     """
     table = pinned(distributions(rates(docs, weights, alpha, total)))
@@ -80,10 +85,10 @@ def mix(
     table = table.select(F.col("source").alias(source), F.col("cdf").alias(cdf))
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (copy.lower(), copies.lower(), shuffle_key.lower())]
     joined = docs.join(F.broadcast(table) if small else table, docs["source"].eqNullSafe(table[source]))
-    u = uniform(docs["doc_id"], seed)
-    drawn = joined.select(*kept, F.size(F.filter(F.col(cdf), lambda c: c <= u)).alias(copies)).where(F.col(copies) > 0)
+    u, own = uniform(identity(docs), seed), fresh(docs, "__own")
+    drawn = joined.select(*kept, identity(docs).alias(own), F.size(F.filter(F.col(cdf), lambda c: c <= u)).alias(copies)).where(F.col(copies) > 0)
     out = drawn.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
-    out = out.withColumn(shuffle_key, _number(_key(seed, F.col("doc_id"), F.col(copy)), 15))
+    out = out.withColumn(shuffle_key, _number(_key(seed, F.col(own), F.col(copy)), 15)).drop(own)
     return out.repartition(F.col(shuffle_key)).sortWithinPartitions(shuffle_key)
 
 
@@ -93,9 +98,9 @@ r AS (SELECT source, (SELECT SUM(n) FROM counts)::DOUBLE * POWER(n::DOUBLE, {ALP
 p AS (SELECT source, k, EXP(SUM(CASE WHEN k = 0 THEN -rate ELSE LN(rate / k) END) OVER (PARTITION BY source ORDER BY k)) AS p
       FROM (SELECT source, rate, UNNEST(range(0, CAST(CEIL(rate + 12 * SQRT(rate) + 30) AS BIGINT) + 1)) AS k FROM r)),
 c AS (SELECT source, list(c ORDER BY k) AS cdf FROM (SELECT source, k, SUM(p) OVER (PARTITION BY source ORDER BY k) AS c FROM p) GROUP BY source),
-d AS (SELECT documents.*, cdf, CAST('0x' || substr(md5('{SEED}|' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+d AS (SELECT documents.*, cdf, CAST('0x' || substr(md5('{SEED}|' || COALESCE(CAST(doc_id AS VARCHAR), md5(text), '')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
       FROM documents JOIN c ON documents.source IS NOT DISTINCT FROM c.source),
 e AS (SELECT * EXCLUDE (cdf, u), CAST(len(list_filter(cdf, lambda x: x <= u)) AS INTEGER) AS n_copies FROM d)
 SELECT doc_id, text, lang, source, n_chars, n_copies, copy,
-       CAST('0x' || substr(md5('{SEED}|' || COALESCE(CAST(doc_id AS VARCHAR), '') || '|' || copy), 1, 15) AS BIGINT) AS shuffle_key
+       CAST('0x' || substr(md5('{SEED}|' || COALESCE(CAST(doc_id AS VARCHAR), md5(text), '') || '|' || copy), 1, 15) AS BIGINT) AS shuffle_key
 FROM (SELECT *, UNNEST(CAST(range(1, n_copies + 1) AS INTEGER[])) AS copy FROM e)"""

@@ -60,11 +60,11 @@ def place(docs: DataFrame, key: str = "doc_id", shards: int | list[int] = SHARDS
     shard, NULL keys to that of the empty string. Columns of the input named as slot or shard are replaced. Texts aren't read.
     """
     table = lookup_table(shards, size, seed)
-    lookup = docs.sparkSession.createDataFrame(list(enumerate(table)), "__slot bigint, __shard int")
-    at = fresh(docs, "__at")
-    placed = docs.withColumn(at, slot_of(F.col(f"`{key}`"), size, seed)).join(F.broadcast(lookup), F.col(at) == F.col("__slot"))
+    at, taken, owner = (fresh(docs, name) for name in ("__at", "__slot", "__shard"))
+    lookup = docs.sparkSession.createDataFrame(list(enumerate(table)), f"`{taken}` bigint, `{owner}` int")
+    placed = docs.withColumn(at, slot_of(F.col(f"`{key}`"), size, seed)).join(F.broadcast(lookup), F.col(at) == F.col(taken))
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (slot.lower(), shard.lower())]
-    return placed.select(*kept, F.col("__slot").alias(slot), F.col("__shard").alias(shard))
+    return placed.select(*kept, F.col(taken).alias(slot), F.col(owner).alias(shard))
 
 
 def write_shards(placed: DataFrame, path: str, key: str = "doc_id", shard: str = "shard", tasks_per_shard: int = 4) -> None:
@@ -84,5 +84,5 @@ claim AS (
     SELECT turn, taken, list_filter(list_transform(range({SIZE}), lambda j: (off + j * skip) % {SIZE}), lambda x: get_bit(taken, CAST(x AS INTEGER)) = 0)[1] AS slot_
     FROM claim JOIN pref ON s = turn % {SHARDS} WHERE turn < {SIZE})),
 tab AS (SELECT slot, CAST((turn - 1) % {SHARDS} AS INTEGER) AS shard FROM claim WHERE turn > 0)
-SELECT doc_id, slot, shard FROM (SELECT doc_id, CAST('0x' || substr(md5('{SEED}|' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {SIZE} AS slot FROM documents)
+SELECT doc_id, text, lang, source, n_chars, slot, shard FROM (SELECT *, CAST('0x' || substr(md5('{SEED}|' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {SIZE} AS slot FROM documents)
 JOIN tab USING (slot)"""

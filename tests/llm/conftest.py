@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, copy string, shard string, component_id string, __class string, score string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, copy string, shard string, component_id string, __class string, score string, __slot string, __shard string, __id string, __lang string, value string"
 
 
 @pytest.fixture(scope="session")
@@ -19,7 +19,7 @@ def odd(spark):
         (7, "le chat et le chien de la maison avec que", "fr", "b", 1, None, None, None, None, None),
         (8, "\x00 zero \x00 byte", "en", "c", 1, None, None, None, None, None),
     ]
-    return spark.createDataFrame(rows, SCHEMA)
+    return spark.createDataFrame([(*r, "p", "q", "r", "s", "t") for r in rows], SCHEMA)
 
 
 @pytest.fixture(scope="session")

@@ -52,3 +52,11 @@ def test_odd_rows(odd, none):
     assert mixing.mix(odd, {None: 1.0}, total=50.0).where("source IS NOT NULL").count() == 0
     with pytest.raises(ValueError):
         mixing.mix(odd, {"a": -1.0})
+
+
+def test_rows_without_id_go_by_their_text(spark):
+    rows = [(None, f"text {i}", "en", "a", 1) for i in range(400)] + [(None, None, None, "a", None), (7, "x", "en", "a", 1)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    texts = [r.text for r in out.where("doc_id IS NULL").collect()]
+    assert 200 < len(set(texts)) < 320 and 300 < len(texts) < 500
+    assert out.select("shuffle_key").distinct().count() == out.count()
