@@ -1,14 +1,14 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Texts and items are words of digits, letters and non-ASCII characters, lower-cased; a shingle is five words (all of an item with fewer). For
-an item of n words every window of n words that shares a shingle with an item of that size gets a 64-bit SimHash of its weighted shingles;
+an item of n words every window of n words that shares a shingle with an item of that size gets a 128-bit SimHash of its weighted shingles;
 windows that share none have similarity 0 and are passed over without loss. Fingerprints are found through BLOCKS blocks of bits: two within
-RADIUS differ in some block by RADIUS // BLOCKS bits or fewer, and each block's table lists items under all values that near. Candidates are
-verified by the exact similarity: the weight of shared shingles over that of all, counts included. A shingle weighs the more the fewer
+RADIUS differ in some block by RADIUS // BLOCKS bits or fewer, and each block's table lists items under all values that near. Of fingerprints
+that have nothing in common 8 % become candidates, and of these next to none are within RADIUS. Candidates are verified by the exact similarity: the weight of shared shingles over that of all, counts included. A shingle weighs the more the fewer
 items of the whole benchmark have it, in however many blocks the items are searched.
 
-At similarity 0.8 two fingerprints differ in 9.7 bits on average, with a deviation of 2.9, so RADIUS leaves out fewer than one window in a
-thousand at the threshold, and a copied item is at distance 0.
+At similarity 0.8 two fingerprints differ in 19 bits on average, with a deviation of 4, so RADIUS leaves out about two windows in a thousand
+at the threshold, and a copied item is at distance 0.
 """
 
 from __future__ import annotations
@@ -28,26 +28,61 @@ from pyspark.sql import types as T
 from quillon.llm.common import ALNUM, find_words, looked_up, mix, rolled, text_bytes, text_parts
 
 SHINGLE, SIMILARITY = 5, 0.8
-BITS, BLOCKS, RADIUS = 64, 8, 19
-#: Items that one pass over the texts looks for; more take further passes.
-ITEMS_AT_ONCE = 4096
+BITS, BLOCKS, RADIUS = 128, 8, 31
+#: Items that one pass over the texts looks for (about 35 kB of tables each); more take further passes.
+ITEMS_AT_ONCE = 2048
+#: Windows whose candidates are found at once.
+WINDOWS = 1024
 _WIDTH = BITS // BLOCKS
 _FILTER_BITS = 22
 
 
-def near_values(radius: int) -> list[int]:
+def near_values(radius: int) -> np.ndarray:
     """Masks of a block with at most radius bits set."""
-    return [sum(1 << b for b in c) for k in range(radius + 1) for c in combinations(range(_WIDTH), k)]
+    return np.array([sum(1 << b for b in c) for k in range(radius + 1) for c in combinations(range(_WIDTH), k)], np.uint16)
 
 
 def bit_signs(hashes: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each bit of each hash."""
-    return ((hashes[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.int8) * 2 - 1
+    """+1 or -1 for each of BITS bits of each hash."""
+    both = np.stack([hashes, mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5))], 1)
+    return np.unpackbits(both.view(np.uint8), axis=1).astype(np.int8) * 2 - 1
 
 
 def pack(sums: np.ndarray) -> np.ndarray:
-    """Fingerprints: a bit is set where the weighted sum of signs is above 0."""
-    return ((sums > 1e-9).astype(np.uint64) << np.arange(BITS, dtype=np.uint64)).sum(-1, dtype=np.uint64)
+    """Fingerprints, as BLOCKS numbers of 16 bits: a bit is set where the weighted sum of signs is above 0."""
+    return np.packbits(sums > 1e-9, axis=-1).view(np.uint16)
+
+
+class Blocks:
+    """Fingerprints by block: each block's values within near bits of a fingerprint's, sorted, with the numbers of the fingerprints."""
+
+    def __init__(self, prints: np.ndarray, radius: int) -> None:
+        self.prints, self.radius = prints, radius
+        near, owner = near_values(radius // BLOCKS), np.arange(len(prints), dtype=np.int32)
+        self.tables = []
+        for b in range(BLOCKS):
+            values, owners = (prints[:, b, None] ^ near).ravel(), np.repeat(owner, len(near))
+            order = np.argsort(values, kind="stable")
+            self.tables.append((values[order], owners[order]))
+
+    def candidates(self, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, fingerprint) of all pairs that are near in some block, part by part."""
+        for at in range(0, len(windows), WINDOWS):
+            part, pairs = windows[at : at + WINDOWS], []
+            for b, (values, owners) in enumerate(self.tables):
+                low, high = (np.searchsorted(values, part[:, b], side) for side in ("left", "right"))
+                count = high - low
+                place = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                pairs.append(np.repeat(np.arange(len(part)), count) * len(self.prints) + owners[place])
+            both = np.unique(np.concatenate(pairs))
+            yield both // len(self.prints) + at, both % len(self.prints)
+
+    def within(self, windows: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(window, fingerprint, distance) of all pairs within the radius."""
+        for w, i in self.candidates(windows):
+            distance = np.bitwise_count(windows[w] ^ self.prints[i]).sum(1, dtype=np.int64)
+            near = distance <= self.radius
+            yield from zip(w[near].tolist(), i[near].tolist(), distance[near].tolist(), strict=True)
 
 
 @dataclass
@@ -106,24 +141,17 @@ class Items:
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.keys >> np.uint64(64 - _FILTER_BITS)] = True
         self.groups: dict[tuple[int, int], dict] = {}
-        near = near_values(radius // BLOCKS)
         for k, numbers in by_k.items():
             for size in sorted({int(sizes[n]) for n in numbers}):
                 own = [n for n in numbers if sizes[n] == size]
-                prints = np.array([self.fingerprint(self.shingles[n]) for n in own], np.uint64)
-                tables: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(BLOCKS)]
-                for i, print_ in enumerate(prints.tolist()):
-                    for b in range(BLOCKS):
-                        value = print_ >> (b * _WIDTH) & ((1 << _WIDTH) - 1)
-                        for mask in near:
-                            tables[b][value ^ mask].append(i)
-                self.groups[k, size] = {"items": own, "prints": prints, "tables": tables, "keys": np.unique(np.concatenate([self.shingles[n] for n in own]))}
+                prints = np.stack([self.fingerprint(self.shingles[n]) for n in own])
+                self.groups[k, size] = {"items": own, "blocks": Blocks(prints, radius), "keys": np.unique(np.concatenate([self.shingles[n] for n in own]))}
 
     def weigh(self, shingles: np.ndarray) -> np.ndarray:
         return looked_up(shingles, self.repeated, self.weights, self.top)
 
-    def fingerprint(self, shingles: np.ndarray) -> int:
-        return int(pack(self.weigh(shingles) @ bit_signs(mix(shingles))))
+    def fingerprint(self, shingles: np.ndarray) -> np.ndarray:
+        return pack(self.weigh(shingles) @ bit_signs(mix(shingles)))
 
     def alike(self, window: np.ndarray, item: np.ndarray) -> float:
         """Weighted Jaccard similarity of two bags of shingles."""
@@ -132,15 +160,6 @@ class Items:
         shared = (self.weigh(both) * np.minimum(n[i], m[j])).sum()
         return float(shared / ((self.weigh(a) * n).sum() + (self.weigh(b) * m).sum() - shared)) if len(a) and len(b) else 0.0
 
-    def candidates(self, group: dict, prints: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(window, item of the group, distance) of all fingerprints within the radius."""
-        blocks = [(prints >> np.uint64(b * _WIDTH)) & np.uint64((1 << _WIDTH) - 1) for b in range(BLOCKS)]
-        for w, print_ in enumerate(prints.tolist()):
-            for i in sorted({i for b in range(BLOCKS) for i in group["tables"][b].get(int(blocks[b][w]), ())}):
-                distance = (print_ ^ int(group["prints"][i])).bit_count()
-                if distance <= self.radius:
-                    yield w, i, distance
-
     def search(self, hashes: np.ndarray, hits: dict[int, tuple[np.ndarray, np.ndarray]]) -> list[Match]:
         """Best window for each item in a text's words; hits: by shingle size the places and hashes of shingles that items have."""
         best: dict[int, Match] = {}
@@ -161,7 +180,7 @@ class Items:
                 sums = np.concatenate([np.zeros((1, BITS)), np.cumsum(self.weigh(shingles[i:j])[:, None] * bit_signs(mix(shingles[i:j])), axis=0)])
                 lo = part - a - i
                 prints = pack(sums[lo + span - k + 1] - sums[lo])
-                for w, n, distance in self.candidates(group, prints):
+                for w, n, distance in group["blocks"].within(prints):
                     start, item = int(part[w]), group["items"][n]
                     similarity = self.alike(shingles[start - a : start - a + span - k + 1], self.shingles[item])
                     known = best.get(item)
@@ -252,7 +271,10 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, at_once: int = ITEMS_AT_ONCE) -> DataFrame:
-    """The rows of docs, all columns, in which no window is that similar to an item; nothing is shuffled."""
+    """The rows of docs, all columns, in which no window is that similar to an item; nothing is shuffled.
+
+    Texts that are NULL, empty or without words stay, long ones are read whole, and repeated rows stay or go alike.
+    """
 
     def dropper(shared, place: int) -> Callable:
         def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

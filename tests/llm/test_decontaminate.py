@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -58,22 +59,55 @@ def test_finds_what_brute_force_finds():
             assert abs(got[r][i][0] - similarity) < 1e-9
 
 
+def flipped(prints, most):
+    """Fingerprints with some bits changed."""
+    out = prints.copy()
+    for row in out:
+        for bit in RNG.sample(range(dc.BITS), RNG.randint(0, most)):
+            row[bit // 16] ^= np.uint16(1 << bit % 16)
+    return out
+
+
 def test_blocks_guarantee_the_radius():
-    masks = set(dc.near_values(dc.RADIUS // dc.BLOCKS))
+    masks = set(dc.near_values(dc.RADIUS // dc.BLOCKS).tolist())
     for _ in range(2000):
-        difference = sum(1 << b for b in RNG.sample(range(64), dc.RADIUS))
-        assert any(difference >> (8 * b) & 255 in masks for b in range(8))
-
+        difference = sum(1 << b for b in RNG.sample(range(dc.BITS), dc.RADIUS))
+        assert any(difference >> (16 * b) & 0xFFFF in masks for b in range(dc.BLOCKS))
 
-def test_candidates_are_all_within_the_radius():
-    import numpy as np
 
+def test_pairs_within_the_radius(monkeypatch):
+    monkeypatch.setattr(dc, "WINDOWS", 16)
     index = dc.Items([(i, " ".join(RNG.choices(WORDS, k=20))) for i in range(50)])
-    group = index.groups[5, 20]
-    prints = np.array([int(p) ^ sum(1 << b for b in RNG.sample(range(64), RNG.randint(0, 24))) for p in group["prints"]], np.uint64)
-    got = {(w, i): d for w, i, d in index.candidates(group, prints)}
-    want = {(w, i): d for w in range(50) for i in range(50) if (d := (int(prints[w]) ^ int(group["prints"][i])).bit_count()) <= dc.RADIUS}
-    assert got == want
+    blocks = index.groups[5, 20]["blocks"]
+    prints = flipped(blocks.prints, 40)
+    got = {(w, i): d for w, i, d in blocks.within(prints)}
+    distance = [[sum((int(x) ^ int(y)).bit_count() for x, y in zip(w, p, strict=True)) for p in blocks.prints] for w in prints]
+    assert got == {(w, i): distance[w][i] for w in range(50) for i in range(50) if distance[w][i] <= dc.RADIUS}
+
+
+def test_few_items_are_candidates_of_a_window():
+    """Of other items' windows and of random ones: those near in some block, out of 300 items of one size."""
+    items = [(i, " ".join(RNG.choices(WORDS, k=30))) for i in range(300)]
+    blocks = dc.Items(items).groups[5, 30]["blocks"]
+    others = dc.Items([(i, " ".join(RNG.choices(WORDS, k=30))) for i in range(300)]).groups[5, 30]["blocks"].prints
+    pairs = sum(len(w) for w, _ in blocks.candidates(others))
+    assert pairs < 0.12 * 300 * 300
+
+
+def test_radius_leaves_out_next_to_nothing():
+    """Of windows whose similarity is little above the threshold."""
+    items = [(i, " ".join(RNG.choices(WORDS, k=60))) for i in range(200)]
+    index, all_, lost = dc.Items(items), 0, 0
+    for n, (_, text) in enumerate(items):
+        for _ in range(10):
+            words = text.split()
+            words[RNG.randrange(5, 55)] = f"new{RNG.randrange(10**6)}"
+            words[0 if RNG.random() < 0.5 else -1] = "end"
+            _, window = dc.item_shingles(pa.array([" ".join(words)]))
+            if 0.8 <= index.alike(window[0], index.shingles[n]) < 0.87:
+                all_ += 1
+                lost += int(np.bitwise_count(index.fingerprint(window[0]) ^ index.fingerprint(index.shingles[n])).sum()) > dc.RADIUS
+    assert all_ > 500 and lost <= 0.01 * all_
 
 
 def test_tables(spark, odd, none):
