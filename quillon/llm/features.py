@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import LOWER, Words, byte_class
@@ -20,10 +20,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(rows: DataFrame, label: str, size: int, key: str = "doc_id") -> DataFrame:
-    """At most size rows with a label that aren't held out, those with the smallest hashes of key; the same for any partitioning."""
-    ok = rows.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
-    order = F.md5(F.concat(F.lit("sample|"), F.col(key).cast("string")))
-    return ok.select(key, label).orderBy(order, key, label).limit(size)
+    """At most size rows (key, label) with a label that aren't held out, as many of each label as there are, or as its share of size allows.
+
+    Of a label those with the smallest hashes of key; the same for any partitioning. With more labels than size, one row each of some.
+    """
+    ok = rows.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("key"), F.col(label).alias("label"))
+    share = max(1, size // max(1, ok.select("label").distinct().count()))
+    order = F.md5(F.concat(F.lit("sample|"), F.col("key").cast("string")))
+    ranked = ok.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(order, "key"))).where(F.col("rank") <= share)
+    return ranked.orderBy("rank", "label").limit(size).select(F.col("key").alias(key), F.col("label").alias(label))
 
 
 def row(keys: np.ndarray, family: int) -> np.ndarray:

@@ -23,8 +23,9 @@ from quillon.llm.features import LETTERS, TABLE_BITS, affix_keys, gram_rows, hel
 UNKNOWN = "und"
 #: Score below which keep_known drops a text: with four languages, hardly above chance.
 LEAST_SCORE = 0.3
-#: Bounds of training: texts, bytes of a text, words from the middle of each, occurrences of a lexicon word at least, rounds.
-TEXTS, MOST_BYTES, WORDS, LEAST, ROUNDS = 1200, 64_000, 240, 3, 14
+#: Bounds of training: texts (as many of each language), words from the middle of each, bytes of these, occurrences of a lexicon word at
+#: least, rounds.
+TEXTS, WORDS, MOST_BYTES, LEAST, ROUNDS = 1200, 240, 16_000, 3, 14
 #: Words of a stretch of one language in a training sequence, and stretches.
 STRETCH, STRETCHES = 24, 4
 #: Words that forward-backward takes as one chunk.
@@ -145,12 +146,15 @@ def forward_backward(scores: np.ndarray, transitions: np.ndarray, bounds: np.nda
     return marginals, move * ((left / z).T @ right)
 
 
-def middle(text: str) -> str:
-    """The middle WORDS words of a text, as it has them."""
+def middle(text: str | None) -> str:
+    """The middle WORDS words of a text, as it has them, and of these at most MOST_BYTES bytes; a longer word is cut."""
     words = find_words(*text_bytes(pa.array([text], pa.string())), LETTERS)
+    if not len(words.start):
+        return ""
     skip = max(0, (len(words.start) - WORDS) // 2)
-    part = slice(skip, skip + WORDS)
-    return text.encode()[words.start[part][0] : words.end[part][-1]].decode() if len(words.start) else ""
+    start, end = int(words.start[skip]), words.end[skip : skip + WORDS]
+    fits = int(np.searchsorted(end, start + MOST_BYTES, side="right"))
+    return text.encode()[start : int(end[fits - 1]) if fits else start + MOST_BYTES].decode(errors="ignore")
 
 
 def train(texts: list[str], labels: list[str], seed: int = 5) -> Model:
@@ -218,11 +222,18 @@ def has_letter(text: str | None) -> bool:
 
 
 def fit(docs: DataFrame, texts: int = TEXTS) -> Model:
-    """Learns from at most texts labelled rows, none held out or above MOST_BYTES; only they come to the driver."""
-    picked = labelled_sample(docs, "lang", texts)
-    ids = picked.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))
-    rows = docs.join(F.broadcast(ids), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang")), "left_semi")  # at most texts rows
-    found = rows.where(F.octet_length("text") <= MOST_BYTES).select("doc_id", "text", "lang").dropDuplicates().orderBy("doc_id", "lang", "text").limit(texts).collect()
+    """Learns from at most texts labelled rows, none held out; only the middles of their texts come to the driver."""
+
+    def middles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [middle(batch.column(1)[i].as_py()) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.string()), batch.column(2)], names=["id", "text", "lang"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    picked = labelled_sample(docs.select("doc_id", F.col("lang").cast("string").alias("lang")), "lang", texts).select(F.col("doc_id").alias("own_id"), F.col("lang").alias("own_lang"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.join(F.broadcast(picked), (F.col("id") == F.col("own_id")) & (F.col("lang") == F.col("own_lang")), "left_semi")  # at most texts rows
+    found = rows.mapInArrow(middles, f"id {kind}, text string, lang string").dropDuplicates().orderBy("id", "lang", "text").limit(texts).collect()
     return train([r.text for r in found], [r.lang for r in found])
 
 
@@ -266,7 +277,11 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model | None = None, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs, all columns, whose language is known with at least that score; nothing is shuffled."""
+    """The rows of docs, all columns, whose language is known with at least that score; nothing is shuffled.
+
+    Texts that are NULL, empty or without letters go; very long ones are read whole, a block at a time; repeated rows stay or go alike. If no
+    language was learned, all rows go.
+    """
     shared, place = docs.sparkSession.sparkContext.broadcast(model or fit(docs)), docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

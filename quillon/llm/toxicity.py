@@ -1,9 +1,9 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word enters as word inputs (its log-odds and vector in a lexicon of training words) and as character inputs (the largest log-odds and the
-mean vector of its bytes' four-grams, word ends included). The network reads windows of WINDOW words, each overlapping the next by a quarter, in
+mean vector of its bytes' four-grams, word ends included). The network reads windows of WINDOW words, each overlapping the next by half, in
 both directions; attention pools a window's states to one logit, and a text's score is that of its highest window. Only texts carry labels,
-so training picks each text's highest window in every round and learns from it.
+so training picks each text's highest windows every few rounds and learns from them: the network, the word vectors and the four-gram vectors.
 """
 
 from __future__ import annotations
@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 from quillon.llm.common import LOWER, Words, find_words, looked_up, rolled, text_bytes, text_parts
 from quillon.llm.features import LETTERS, held_out, labelled_sample
 
-WINDOW, STRIDE, HIDDEN = 32, 24, 6
+WINDOW, STRIDE, HIDDEN = 32, 16, 6
 THRESHOLD = 0.3
-#: Bounds of training: texts of each label, bytes of a text, texts that a lexicon word stands in at least, rounds.
-TOXIC, CLEAN, MOST_BYTES, LEAST, ROUNDS = 1000, 3000, 16_000, 3, 12
+#: Bounds of training: texts of each label, bytes of a text (of a longer one, as many stretches from all over), texts that a lexicon word
+#: stands in at least, rounds.
+TOXIC, CLEAN, MOST_BYTES, STRETCHES, LEAST, ROUNDS = 1000, 3000, 16_000, 16, 3, 12
+#: Steps of the word and four-gram vectors.
+WORD_RATE, GRAM_RATE = 0.2, 2.0
 CLEAN_WINDOWS = 3
 GRAM_BITS, GRAM_SIZE, WORD_SIZE = 18, 3, 4
 #: Words in windows that run through the network at once.
@@ -42,6 +45,12 @@ def gram_rows(data: np.ndarray, words: Words) -> np.ndarray:
     return np.where(inside, np.maximum(rows, 1), 0).astype(np.int32)
 
 
+def word_bytes(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the bytes of some words, one word after the other, and their numbers."""
+    size = (words.end - words.start)[which]
+    return np.repeat(words.start[which] - (np.cumsum(size) - size), size) + np.arange(size.sum()), size
+
+
 def windows_of(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, first word and length of all windows: at every STRIDE words, the last ending with the text."""
     lengths = np.diff(bounds)
@@ -268,10 +277,10 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, round
     share = toxic.mean() if prior is None else min(max(prior, 0.01), 0.99)
     weight = np.where(toxic == 1, share / toxic.mean(), (1 - share) / (1 - toxic.mean()))
     text, first, length = windows_of(bounds)
-    x, net, adam = np.concatenate([model.inputs(data, words) for _, data, _, words in each()]), model.network, Adam(0.02)
-    g1 = 1 + GRAM_SIZE
+    net, adam, g1 = model.network, Adam(0.02), 1 + GRAM_SIZE
     for turn in range(rounds):
         if turn % 3 == 0:  # pick each text's highest window anew
+            x = np.concatenate([model.inputs(data, words) for _, data, _, words in each()])
             logit = np.empty(len(text))
             for i in range(0, len(text), BATCH // WINDOW):  # windows are in the order of their words
                 at = np.arange(i, min(len(text), i + BATCH // WINDOW))
@@ -283,6 +292,16 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, round
                 odds = np.maximum(x[:, 0], x[:, g1])
                 lead = np.max([odds[first + np.minimum(t, length - 1)] for t in range(WINDOW)], 0)
                 best = highest(text, lead, toxic)
+            # Four-grams of the words in these windows, by number of the word.
+            used, sizes, grams, at = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64), [], 0
+            for t in range(WINDOW):
+                used[first[best] + np.minimum(t, length[best] - 1)] = True
+            for _, data, _, words in each():
+                own = np.flatnonzero(used[at : at + len(words.start)])
+                place, sizes[at + own] = word_bytes(words, own)
+                grams.append(gram_rows(data, words)[place])
+                at += len(words.start)
+            grams, begins = np.concatenate(grams), np.cumsum(sizes) - sizes
         best = rng.permutation(best)
         for i in range(0, len(best), 256):
             at = best[i : i + 256]
@@ -290,28 +309,49 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, round
             # Only the batch's words go through the gates.
             own = (first[at][:, None] + np.minimum(np.arange(WINDOW), length[at][:, None] - 1)).ravel()
             local_first = np.arange(len(at)) * WINDOW
-            gates = net.project(x[own])
+            size = sizes[own]
+            rows = grams[np.repeat(begins[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            part = x[own]
+            part[:, 1:g1] = np.add.reduceat(gram_table[rows, 1:], np.cumsum(size) - size, axis=0) / size[:, None]
+            part[:, g1 + 1 :] = word_table[known[own], 1:]
+            gates = net.project(part)
             logit, trace = net.run(gates, local_first, length[at], keep=True)
             d_logit = ((sigmoid(logit) - toxic[text[at]]) * weight[text[at]] / len(at)).astype(np.float32)
             g, d_gates = net.back(d_logit, trace, gates, local_first, length[at])
             for d in "fb":
-                g[f"w{d}"], g[f"s{d}"] = x[own].T @ d_gates[d] + 1e-4 * net.p[f"w{d}"], d_gates[d].sum(0)
+                g[f"w{d}"], g[f"s{d}"] = part.T @ d_gates[d] + 1e-4 * net.p[f"w{d}"], d_gates[d].sum(0)
             d_x = sum(d_gates[d] @ net.p[f"w{d}"].T for d in "fb")
             adam.step(net.p, g)
-            np.add.at(word_table[:, 1:], known[own], -0.2 * d_x[:, g1 + 1 :])
-            word_table[0] = 0
-        x[:, g1:] = word_table[known]
+            np.add.at(word_table[:, 1:], known[own], -WORD_RATE * d_x[:, g1 + 1 :])
+            np.add.at(gram_table[:, 1:], rows, np.repeat(-GRAM_RATE * d_x[:, 1:g1] / size[:, None], size, axis=0).astype(np.float32))
+            word_table[0] = gram_table[0] = 0
     return model
 
 
+def stretches(text: str | None) -> str:
+    """A text of at most MOST_BYTES bytes as it is; of a longer one STRETCHES pieces from all over, in order."""
+    data = (text or "").encode()
+    if len(data) <= MOST_BYTES:
+        return text or ""
+    size = MOST_BYTES // STRETCHES
+    return " ".join(data[at : at + size].decode(errors="ignore") for at in np.linspace(0, len(data) - size, STRETCHES).astype(int))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learns from at most TOXIC and CLEAN labelled texts, none held out or above MOST_BYTES; only they come to the driver."""
+    """Learns from at most TOXIC and CLEAN labelled texts, none held out; only stretches of them come to the driver."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [stretches(batch.column(1)[i].as_py()) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2)], names=["id", "text", "toxic"])
+
+    kind = dict(docs.dtypes)["doc_id"]
     flags = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1)").dropDuplicates()
     ids = labelled_sample(flags.where("toxic = 1"), "toxic", TOXIC).unionByName(labelled_sample(flags.where("toxic = 0"), "toxic", CLEAN))
     counts = flags.where(~held_out(F.col("doc_id"))).agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= MOST_BYTES)
-    joined = rows.join(F.broadcast(ids), F.col("__id") == F.col("doc_id")).select("doc_id", "text", "toxic")  # at most TOXIC + CLEAN rows
-    found = joined.dropDuplicates().orderBy("doc_id", "toxic", "text").limit(TOXIC + CLEAN).collect()
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+    joined = rows.join(F.broadcast(ids), F.col("id") == F.col("doc_id")).select("id", "text", "toxic")  # at most TOXIC + CLEAN rows
+    found = joined.mapInArrow(cut, f"id {kind}, text string, toxic int").dropDuplicates().orderBy("id", "toxic", "text").limit(TOXIC + CLEAN).collect()
     return train([r.text for r in found], [r.toxic for r in found], counts[1] / counts[0] if counts[0] else None)
 
 

@@ -77,3 +77,18 @@ def test_kept_rows(odd, model):
     kept = language.keep_known(odd, model)
     assert kept.schema == odd.schema
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 1, 5, 7, 8]
+
+
+def test_long_texts_and_rare_languages_are_learned(spark, docs):
+    """Only texts above any bound, and a language of which there are few rows."""
+    some = docs.where("lang IN ('en', 'fr') AND length(text) > 200").selectExpr("doc_id", "repeat(concat(text, ' '), CAST(80000 / length(text) AS INT) + 1) AS text", "lang")
+    rare = docs.where("lang = 'de' AND length(text) > 400").orderBy("doc_id").limit(40).selectExpr("doc_id", "text", "lang")
+    got = language.identify(rows := some.unionByName(rare), language.fit(rows, 60)).join(rows, "doc_id").where("held_out").collect()
+    assert {r.lang for r in got} == {"en", "fr", "de"} and sum(r.lang_pred == r.lang for r in got) > 0.9 * len(got)
+
+
+def test_middles_are_bounded():
+    assert language.middle(None) == "" and language.middle("1 2 !") == ""
+    assert language.middle("ab, cd.") == "ab, cd"
+    assert len(language.middle("x" * 100_000).encode()) == language.MOST_BYTES
+    assert len(language.middle("word " * 10_000).split()) == language.WORDS

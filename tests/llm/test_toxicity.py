@@ -1,7 +1,12 @@
+import copy
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillon.llm import toxicity
+from quillon.llm.common import find_words, text_bytes
+from quillon.llm.features import LETTERS
 
 SF = "/root/testdata/sf0.1"
 
@@ -74,3 +79,57 @@ def test_few_labels(spark, odd, rows):
     labels = spark.createDataFrame([(a, 1, b) for a, b in rows], "doc_id long, quality int, toxic int")
     out = toxicity.score(odd, toxicity.fit(odd, labels))
     assert out.count() == odd.count() and out.where("score IS NULL OR isnan(score)").count() == 0
+
+
+def test_scores_equal_a_plain_loop_over_all_windows(spark, docs, model):
+    """Each window of each text by itself, a step at a time, in doubles."""
+    rows = docs.where("length(text) BETWEEN 50 AND 3000 AND doc_id % 250 = 3").limit(12).collect()
+    got = {r.doc_id: r.score for r in toxicity.score(docs.where(docs.doc_id.isin([r.doc_id for r in rows])), model).collect()}
+    p, h = {k: v.astype(float) for k, v in model.network.p.items()}, model.network.hidden
+    logistic = lambda v: 1 / (1 + np.exp(-v))
+
+    def logit(x):
+        states = np.zeros((len(x), 2 * h))
+        for d, order, at in (("f", range(len(x)), 0), ("b", reversed(range(len(x))), h)):
+            state = np.zeros(h)
+            for t in order:
+                gate, back = x[t] @ p[f"w{d}"] + p[f"s{d}"], state @ p[f"u{d}"]
+                z, r = logistic(gate[:h] + back[:h]), logistic(gate[h : 2 * h] + back[h : 2 * h])
+                state = z * state + (1 - z) * np.tanh(gate[2 * h :] + r * back[2 * h :])
+                states[t, at : at + h] = state
+        weight = np.exp(np.tanh(states @ p["a"]) @ p["v"])
+        return float((weight / weight.sum()) @ states @ p["o"] + p["c"][0])
+
+    assert len(rows) > 5
+    for r in rows:
+        data, offsets = text_bytes(pa.array([r.text]))
+        x = model.inputs(data, find_words(data, offsets, LETTERS)).astype(float)
+        starts = [*range(0, max(1, len(x) - toxicity.WINDOW), toxicity.STRIDE), max(0, len(x) - toxicity.WINDOW)]
+        want = max((logit(x[i : i + toxicity.WINDOW]) for i in starts), default=-np.inf)
+        assert abs(got[r.doc_id] - logistic(want)) < 1e-4
+
+
+def test_characters_carry_something(spark, docs, model):
+    """Without the trained four-gram vectors held-out texts are told apart less well."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    held = docs.join(labels.where("toxic IN (0, 1)"), "doc_id")
+    without = copy.deepcopy(model)
+    without.gram_table[:, 1:] = 0
+    hits = [sum(r.predicted == r.toxic for r in toxicity.score(held, m).where("held_out").join(labels, "doc_id").collect()) for m in (model, without)]
+    assert hits[0] >= hits[1] + 4
+
+
+def test_long_labelled_texts_are_learned_from(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("doc_id < 3000")
+    long = docs.where("doc_id < 3000 AND length(text) BETWEEN 20 AND 2000").selectExpr("doc_id", "repeat(concat(text, ' '), CAST(20000 / length(text) AS INT) + 1) AS text")
+    assert long.where(f"octet_length(text) <= {toxicity.MOST_BYTES}").isEmpty()
+    rows = toxicity.score(long, toxicity.fit(long, labels)).join(labels, "doc_id").where("held_out").collect()
+    toxic = [r for r in rows if r.toxic == 1]
+    assert len(toxic) > 5 and sum(r.predicted for r in toxic) >= 0.4 * len(toxic)
+    assert sum(r.predicted == r.toxic for r in rows) > 0.9 * len(rows)
+
+
+def test_stretches_come_from_all_over():
+    assert toxicity.stretches(None) == "" and toxicity.stretches("a" * toxicity.MOST_BYTES) == "a" * toxicity.MOST_BYTES
+    cut = toxicity.stretches("a" * 50_000 + "é" * 50_000 + "z" * 50_000)
+    assert len(cut.encode()) <= toxicity.MOST_BYTES + toxicity.STRETCHES and {"a", "é", "z"} <= set(cut)
