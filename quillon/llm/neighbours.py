@@ -2,11 +2,13 @@
 
 A vector x gets one more component, sqrt(M^2 - |x|^2) with M the largest norm, and a query a zero: then the largest inner product is the
 smallest distance. Centroids are fitted by k-means that evens out list sizes, on a bounded sample; every vector is then put into the list of
-its nearest centroid and, if it lies near a boundary, into up to REPLICAS - 1 more. A query finds its
-nearest centroids by a best-first walk over a graph of centroids in memory, and visits the lists whose centroid is no farther than RATIO
-times the nearest one's distance, and a number of nearest lists anyway. That number is LEAST_LISTS or, if fewer than TARGET of the true
-neighbours of TRIALS queries (by brute force over all vectors) are in the lists so visited, as many more as that takes. Long lists are cut into chunks and a list's queries into parts, so that no task grows with a list.
+its nearest centroid and, if it lies near a boundary, into up to REPLICAS - 1 more. A query walks a graph of centroids in memory, best first,
+and visits the lists whose centroid is no farther than a ratio times the nearest one's distance. The ratio is measured on the index: the
+smallest with which the lists visited have the share TARGET of the true neighbours of TRIALS queries, found among all vectors. Where vectors
+lie in clusters few lists suffice, where they don't many. There are about 2 sqrt(n) lists, so that lists and what a query reads of the graph
+grow with the root of the table. Long lists are cut into chunks and a list's queries into parts, so that no task grows with a list.
 
+Vectors of different dimensions have no inner product, so each dimension is searched by itself; one of at most WHOLE vectors is one list.
 Equal vectors are one entry with the k + 1 smallest of their ids. Nothing is lost by that: among equal scores the smaller ids win, a result
 has k rows, and one more makes up for the query's own row.
 """
@@ -14,22 +16,22 @@ has k rows, and one more makes up for the query's own row.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import pinned
+from quillon.llm.common import Scratch, pinned
 
 K, EVERY = 20, 20
-#: Vectors of a list aimed at; lists at most; numbers in the sample at most, and vectors.
-LIST, MOST_LISTS, SAMPLE_NUMBERS, SAMPLE = 512, 2048, 4_000_000, 20_000
-REPLICAS, REPLICA_RATIO = 8, 1.15
-RATIO, LEAST_LISTS, DEGREE, ENTRIES = 1.08, 12, 24, 32
-#: Recall that the lists to visit are chosen for, and queries at most that it is measured with.
-TARGET, TRIALS = 0.95, 100
+#: Vectors of a dimension that are compared without lists; lists at most; sample vectors a list, at least, and numbers in the sample at most.
+WHOLE, MOST_LISTS, PER_LIST, SAMPLE, SAMPLE_NUMBERS = 4096, 16_384, 8, 20_000, 8_000_000
+REPLICAS, REPLICA_RATIO = 3, 1.15
+DEGREE, ENTRIES, BEAM = 24, 32, 8
+#: Recall that the ratio is chosen for, and queries at most that it is measured with.
+TARGET, TRIALS = 0.94, 100
 #: Most vectors of a chunk and queries of a part.
 CHUNK, PART = 4096, 4096
 
@@ -93,26 +95,27 @@ class CentroidGraph:
             self.entries.append(int(d.argmax()))
             d = np.minimum(d, ((centroids - centroids[self.entries[-1]]) ** 2).sum(1))
 
-    def search(self, q: np.ndarray, least: int, ratio: float) -> np.ndarray:
-        """Centroids within ratio times the nearest one's distance, and the nearest least ones anyway; nearest first."""
+    def search(self, q: np.ndarray, ratio: float, sizes: np.ndarray | None = None, need: int = 0) -> np.ndarray:
+        """Centroids within ratio times the nearest one's distance, nearest first, and as many more as have lists of need entries in all.
+
+        The walk goes on while among the last BEAM there were any.
+        """
         todo = list(zip(((self.centroids[self.entries] - q) ** 2).sum(1).tolist(), self.entries, strict=True))
         heapq.heapify(todo)
-        seen, found, worst, nearest = set(self.entries), [], [], np.inf
-        while todo:
+        seen, found, nearest, beyond, have = set(self.entries), [], np.inf, 0, 0
+        while todo and (beyond < BEAM or have < need):
             d, at = heapq.heappop(todo)
+            have += sizes[at] if need else 0
             nearest = min(nearest, d)
-            if len(worst) >= 2 * least and d > max(-worst[0], nearest * ratio**2):
-                break
+            beyond = beyond + 1 if d > nearest * ratio**2 and len(found) >= BEAM else 0
             found.append((d, at))
-            heapq.heappush(worst, -d)
-            if len(worst) > 2 * least:
-                heapq.heappop(worst)
             new = [j for j in self.links[at].tolist() if j not in seen]
             seen.update(new)
             for j, dj in zip(new, ((self.centroids[new] - q) ** 2).sum(1).tolist() if new else [], strict=True):
                 heapq.heappush(todo, (dj, j))
         found.sort()
-        return np.array([j for i, (d, j) in enumerate(found) if i < least or d <= nearest * ratio**2], np.int64)
+        before = np.cumsum([0, *(sizes[j] for _, j in found[:-1])]) if need else np.full(len(found), need)
+        return np.array([j for i, (d, j) in enumerate(found) if not i or before[i] < need or d <= nearest * ratio**2], np.int64)
 
 
 def _matrix(column) -> np.ndarray:
@@ -157,7 +160,7 @@ def nearest_in(queries: np.ndarray, vectors: np.ndarray, first_ids: np.ndarray,
 
 
 def true_lists(classes: DataFrame, index, asked: list[tuple[int, np.ndarray]], k: int) -> list[list[list[int]]]:
-    """For each of the queries (first id, vector) the lists of each of its k nearest among all other vectors; all vectors are compared."""
+    """For each of the queries (hash, vector) the lists of each of its k nearest among all other vectors; all vectors are compared."""
     entry = pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64()), ("lists", pa.list_(pa.int32()))]))
     shared = classes.sparkSession.sparkContext.broadcast((np.array([i for i, _ in asked]), np.stack([q for _, q in asked])))  # at most TRIALS vectors
 
@@ -180,49 +183,41 @@ def true_lists(classes: DataFrame, index, asked: list[tuple[int, np.ndarray]], k
                 found = [{"s": s, "id": id_, "lists": lists[at == n].tolist()} for n, (s, id_, _) in enumerate(rows)]
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([found], entry)], names=["q", "best"])
 
-    found = classes.select("v", "first").mapInArrow(compared, "q int, best array<struct<s:double,id:bigint,lists:array<int>>>")
+    found = classes.select("v", "h").mapInArrow(compared, "q int, best array<struct<s:double,id:bigint,lists:array<int>>>")
     merged = found.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
     rows = {r.q: [list(b.lists) for b in r.best] for r in merged.collect()}
     return [rows.get(i, []) for i in range(len(asked))]
 
 
-def lists_needed(graph: CentroidGraph, queries: list[np.ndarray], wanted: list[list[list[int]]], least: int, ratio: float, target: float = TARGET) -> int:
-    """The number of nearest lists to visit, least or more, with which the share target of the wanted entries is found; at most all lists."""
-    total = sum(map(len, wanted))
-    while total and least < len(graph.centroids):
-        visited = [set(graph.search(np.append(q, 0.0), least, ratio).tolist()) for q in queries]
-        if sum(not seen.isdisjoint(lists) for seen, own in zip(visited, wanted, strict=True) for lists in own) >= target * total:
-            break
-        least = min(len(graph.centroids), least + (least + 2) // 3)
-    return least
-
-
-def search(vectors: DataFrame, k: int = K, every: int = EVERY, vector: str = "embedding", key: str = "vec_id", list_size: int = LIST, ratio: float = RATIO, least_lists: int = LEAST_LISTS) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each row whose key is divisible by every, among all other rows.
-
-    Rows without key, and vectors that aren't usable or of another than the most frequent dimension (the smaller, if two are as frequent),
-    take no part; an input without any gives no rows. Rows with the same key and vector count once.
-    """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast("array<float>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)).alias("m")).orderBy(F.desc("n"), "d").first()
-    dimension, _, most = sizes or (0, 0, 0.0)
-    rows = rows.where(F.size("v") == dimension)
-    #: One row for each different vector, with its smallest ids; the limit by rank takes effect before the shuffle too.
-    by_vector = Window.partitionBy("v").orderBy("id")
-    few = rows.distinct().withColumn("r", F.row_number().over(by_vector)).where(F.col("r") <= k + 1)
-    classes = pinned(few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("first", F.col("ids")[0]))
-    n = classes.count()
-    sample = classes.select("v").orderBy(F.xxhash64("v"), "v").limit(max(1, min(SAMPLE, SAMPLE_NUMBERS // max(1, dimension)))).toArrow()
-    x = augmented(_matrix(sample["v"]), most) if sample.num_rows else np.zeros((1, dimension + 1))
-    centroids = balanced_centroids(x, max(1, min(MOST_LISTS, n // list_size)))
-    graph = CentroidGraph(centroids)
+def ratio_needed(graph: CentroidGraph, queries: list[np.ndarray], wanted: list[list[list[int]]], target: float = TARGET) -> float:
+    """The ratio with which the lists visited hold the share target of the wanted entries (for each query, each entry's lists)."""
+    needs = []
+    for q, own in zip(queries, wanted, strict=True):
+        d = np.sqrt(distances(np.append(q, 0.0)[None], graph.centroids)[0])
+        needs += [d[lists].min() / max(d.min(), 1e-12) for lists in own]
+    if not needs:
+        return 1.0
+    ratio = float(np.sort(needs)[max(0, int(np.ceil(target * len(needs))) - 1)]) * (1 + 1e-9)
+    while True:  # a walk may miss a centroid within the ratio
+        visited = [set(graph.search(np.append(q, 0.0), ratio).tolist()) for q in queries]
+        if sum(not seen.isdisjoint(lists) for seen, own in zip(visited, wanted, strict=True) for lists in own) >= target * len(needs) or all(len(v) == len(graph.centroids) for v in visited):
+            return ratio
+        ratio *= 1.02
+
+
+def _dealt(classes: DataFrame, queries: DataFrame, scratch: Scratch, dimension: int, n: int, most: float, k: int, target: float) -> tuple[DataFrame, DataFrame]:
+    """Postings (d, list, v, ids, first, h) and probes (d, list, v, h) of the n vectors and the queries of one dimension."""
+    spark = classes.sparkSession
+    lists = max(1, min(MOST_LISTS, int(np.ceil(2 * np.sqrt(n)))))
+    size = min(max(SAMPLE, PER_LIST * lists), max(1, SAMPLE_NUMBERS // dimension))
+    sample = classes.select("v").orderBy(F.xxhash64("h"), "v").limit(size).toArrow()
+    graph = CentroidGraph(balanced_centroids(augmented(_matrix(sample["v"]), most), lists))
     index = spark.sparkContext.broadcast((graph, most))  # at most MOST_LISTS centroids
-    if len(centroids) > least_lists:
-        trials = classes.where(F.exists("ids", lambda i: i % every == 0)).orderBy(F.xxhash64("v", F.lit(1)), "v").select("first", "v").limit(TRIALS).toArrow()
-        if trials.num_rows:
-            tried = list(_matrix(trials["v"]))
-            least_lists = lists_needed(graph, tried, true_lists(classes, index, list(zip(trials["first"].to_pylist(), tried, strict=True)), k), least_lists, ratio)
+    trials = queries.orderBy(F.xxhash64("h", F.lit(1)), "v").limit(TRIALS).toArrow()
+    ratio = 1.0
+    if trials.num_rows:
+        tried = list(_matrix(trials["v"]))
+        ratio = ratio_needed(graph, tried, true_lists(classes, index, list(zip(trials["h"].to_pylist(), tried, strict=True)), k), target)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph, most = index.value
@@ -231,57 +226,148 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, vector: str = "em
                 continue
             at, lists = lists_of(augmented(_matrix(batch.column(0)), most), graph.centroids)
             at = pa.array(at)
-            yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), *(batch.column(c).take(at) for c in range(3))], names=["list", "v", "ids", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), *(batch.column(c).take(at) for c in range(4))], names=["list", "v", "ids", "first", "h"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph, _ = index.value
+        (graph, _), counts = index.value, sizes.value
         for batch in batches:
-            out = [graph.search(np.append(q, 0.0), least_lists, ratio) for q in _matrix(batch.column(0))]
+            out = [graph.search(np.append(q, 0.0), ratio, counts, REPLICAS * (k + 1)) for q in _matrix(batch.column(0))]
             at = pa.array(np.repeat(np.arange(len(out)), [len(x) for x in out]), pa.int64())
             lists = np.concatenate(out) if out else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], names=["list", "v", "q"])
-
-    postings = classes.select("v", "ids", "first").mapInArrow(put, "list int, v array<float>, ids array<bigint>, first bigint")
-    asked = rows.where(F.col("id") % every == 0).distinct()
-    query_classes = asked.groupBy("v").agg(F.min("id").alias("q"))
-    probes = query_classes.select("v", "q").mapInArrow(probe, "list int, v array<float>, q bigint")
-    postings, probes = pinned(postings), pinned(probes)
-    # Rows of each list, at most MOST_LISTS numbers a side.
-    long = postings.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    many = probes.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    cut = F.broadcast(long.join(many, "list"))
-    deal = lambda id_, n: F.pmod(F.xxhash64(id_), n).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = probes.join(cut, "list").withColumn("part", deal("q", F.col("parts"))).withColumn("chunk", each(F.col("chunks"))).select("list", "chunk", "part", "q", "v")
-    right = postings.join(cut, "list").withColumn("chunk", deal("first", F.col("chunks"))).withColumn("part", each(F.col("parts"))).select("list", "chunk", "part", "first", "ids", "v")
-    entry = pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64())]))
-    schema = pa.schema([("q", pa.int64()), ("best", entry)])
+            yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], names=["list", "v", "h"])
+
+    kind = dict(classes.dtypes)["v"]
+    d = F.lit(dimension).alias("d")
+    postings = scratch.put(classes.select("v", "ids", "first", "h").mapInArrow(put, f"list int, v {kind}, ids array<bigint>, first bigint, h bigint")).select(d, "*")
+    counted = np.zeros(len(graph.centroids), np.int64)
+    for r in postings.groupBy("list").agg(F.count("*").alias("n")).collect():  # at most MOST_LISTS
+        counted[r.list] = r.n
+    sizes = spark.sparkContext.broadcast(counted)
+    return postings, queries.select("v", "h").mapInArrow(probe, f"list int, v {kind}, h bigint").select(d, "*")
+
+
+def prepared(vectors: DataFrame, scratch: Scratch, k: int = K, every: int = EVERY, vector: str = "embedding", key: str = "vec_id", target: float = TARGET) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queries (id, h), and postings and probes by d and list; h is a hash of the vector."""
+    kind = dict(vectors.dtypes)[vector]
+    kind = kind if kind == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast(kind).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"))).distinct()
+    #: One row for each different vector, with its smallest ids; the limit by rank takes effect before the shuffle too.
+    by_vector = Window.partitionBy("v").orderBy("id")
+    few = rows.withColumn("r", F.row_number().over(by_vector)).where(F.col("r") <= k + 1)
+    classes = few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    classes = scratch.put(classes.select("v", "ids", F.col("ids")[0].alias("first"), F.xxhash64("v").alias("h"), F.size("v").alias("d")))
+    asked = rows.where(F.col("id") % every == 0).select("id", "v", F.xxhash64("v").alias("h"), F.size("v").alias("d"))
+    queries = scratch.put(asked.select("v", "h", "d").distinct())
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    sizes = classes.groupBy("d").agg(F.count("*").alias("n"), F.max(norm).alias("m")).where(F.col("n") > WHOLE).collect()  # large dimensions
+    large = [r.d for r in sizes]
+    whole = lambda df: df.where(~F.col("d").isin(large)) if large else df
+    none = F.lit(0).alias("list")
+    postings, probes = whole(classes).select("d", none, "v", "ids", "first", "h"), whole(queries).select("d", none, "v", "h")
+    for r in sizes:
+        of = F.col("d") == r.d
+        more, asks = _dealt(classes.where(of), queries.where(of), scratch, r.d, r.n, r.m, k, target)
+        postings, probes = postings.unionByName(more), probes.unionByName(asks)
+    return asked.select("id", "h"), postings, scratch.put(probes)
+
+
+def search(vectors: DataFrame, k: int = K, every: int = EVERY, vector: str = "embedding", key: str = "vec_id", target: float = TARGET) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of each row whose key is divisible by every, among all other rows.
+
+    Rows without key and vectors that aren't usable take no part; an input without any gives no rows. Vectors are compared with those of
+    their dimension. Rows with the same key and vector count once; of a key with several vectors each is a query and a candidate by itself,
+    and a query's own row is the one with its key and its vector. Scores are sums of products of doubles, ties go to the smaller key. Other
+    columns aren't read.
+    """
+    with Scratch(vectors.sparkSession) as scratch:
+        asked, postings, probes = prepared(vectors, scratch, k, every, vector, key, target)
+        # Rows of each list, at most MOST_LISTS numbers a large dimension and one for each other.
+        at = ["d", "list"]
+        long = postings.groupBy(*at).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+        many = probes.groupBy(*at).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+        cut = scratch.put(long.join(many, at))
+        deal = lambda of, n: F.pmod(F.xxhash64(of), n).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        left = probes.join(cut, at).withColumn("part", deal("h", F.col("parts"))).withColumn("chunk", each(F.col("chunks"))).select(*at, "chunk", "part", "h", "v")
+        right = postings.join(cut, at).withColumn("chunk", deal("h", F.col("chunks"))).withColumn("part", each(F.col("parts"))).select(*at, "chunk", "part", "first", "ids", "h", "v")
+        keys = [*at, "chunk", "part"]
+        schema = "q bigint, best array<struct<s:double,id:bigint,h:bigint>>"
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_nearest(k), schema).mapInArrow(_combined(k), schema)
+        # Entries that replicas bring twice are equal, score included, and lie side by side when sorted.
+        merged = found.groupBy("q").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("all"))
+        different = F.filter("all", lambda b, i: ~b.eqNullSafe(F.get("all", i - 1)))
+        merged = merged.select("q", F.slice(different, 1, k + 1).alias("best"))
+        kept = F.slice(F.filter("best", lambda b: (b["id"] != F.col("id")) | (b["h"] != F.col("h"))), 1, k)
+        out = asked.join(merged, F.col("h") == F.col("q")).select(F.col("id").alias("query_id"), F.posexplode(kept).alias("r", "b"))
+        return pinned(out.select("query_id", (F.col("r") + 1).cast("int").alias("rank"), F.col("b.id").alias("vec_id"), (-F.col("b.s")).alias("score")))
+
+
+#: A query's best entries: the score with its sign turned, the key, and the vector's hash.
+ENTRY = pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64()), ("h", pa.int64())]))
+#: Entries that a task holds at most before it gives some of them away.
+HELD = 2_000_000
+
+
+def _entries(s: np.ndarray, ids: np.ndarray, hashes: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    values = pa.StructArray.from_arrays([pa.array(s), pa.array(ids), pa.array(hashes)], fields=list(ENTRY.value_type))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values).cast(ENTRY)
+
+
+def _combined(k: int) -> Callable:
+    """Rows (q, best) to one row a query and task, or a few in a large task: its k + 1 best different entries."""
+
+    def best(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        q, s, ids, hashes = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((hashes, ids, s, q))
+        q, s, ids, hashes = q[order], s[order], ids[order], hashes[order]
+        new = np.append(True, (q[1:] != q[:-1]) | (s[1:] != s[:-1]) | (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1]))[: len(q)]
+        q, s, ids, hashes = q[new], s[new], ids[new], hashes[new]
+        starts = np.flatnonzero(np.append(True, q[1:] != q[:-1])[: len(q)])
+        keep = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q)))) <= k
+        return q[keep], s[keep], ids[keep], hashes[keep]
+
+    def batch(q: np.ndarray, s: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.append(True, q[1:] != q[:-1])[: len(q)])
+        return pa.RecordBatch.from_arrays([pa.array(q[starts]), _entries(s, ids, hashes, np.append(starts, len(q)))], names=["q", "best"])
+
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for rows in batches:
+            lists = rows.column(1)
+            flat = lists.flatten()
+            s, ids, hashes = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            held.append((np.repeat(rows.column(0).to_numpy(), np.diff(lists.offsets.to_numpy())), s, ids, hashes))
+            count += len(s)
+            if count > HELD:
+                held = [best(held)]
+                count = len(held[0][0])
+                if 2 * count > HELD:
+                    yield batch(*held[0])
+                    held, count = [], 0
+        if held:
+            yield batch(*best(held))
+
+    return combined
+
+
+def _nearest(k: int) -> Callable:
+    schema = pa.schema([("q", pa.int64()), ("best", ENTRY)])
 
     def nearest(asked: pa.Table, listed: pa.Table) -> pa.Table:
         """For each query of a part the k + 1 best entries of a chunk, with the score's sign turned."""
         if not asked.num_rows or not listed.num_rows:
             return schema.empty_table()
-        q, first, ids = asked["q"].to_numpy(), listed["first"].to_numpy(), listed["ids"].combine_chunks()
+        q, first, hashes, ids = asked["h"].to_numpy(), listed["first"].to_numpy(), listed["h"].to_numpy(), listed["ids"].combine_chunks()
         starts, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
         who, best, offsets = [], [], [0]
         for i, at, exact in nearest_in(_matrix(asked["v"]), _matrix(listed["v"]), first, k + 1):
             count = starts[at + 1] - starts[at]
             own = np.concatenate([flat[a:b] for a, b in zip(starts[at], starts[at + 1], strict=True)])
-            score = np.repeat(exact, count)
+            score, of = np.repeat(exact, count), np.repeat(hashes[at], count)
             order = np.lexsort((own, -score))[: k + 1]
             who.append(q[i])
-            best.append((-score[order], own[order]))
+            best.append((-score[order], own[order], of[order]))
             offsets.append(offsets[-1] + len(order))
-        s, own = (np.concatenate([b[e] for b in best]) for e in (0, 1))
-        values = pa.StructArray.from_arrays([pa.array(s), pa.array(own)], fields=list(entry.value_type))
-        return pa.table([pa.array(who, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values).cast(entry)], schema=schema)
-
-    keys = ["list", "chunk", "part"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(nearest, "q bigint, best array<struct<s:double,id:bigint>>")
-    # Entries that replicas bring twice are equal, score included.
-    merged = found.groupBy("q").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k + 1).alias("best"))
-    own = asked.join(query_classes.select(F.col("v").alias("qv"), "q"), F.col("v") == F.col("qv")).select("id", "q")
-    answers = own.join(merged, "q")
-    kept = F.slice(F.filter("best", lambda b: b["id"] != F.col("id")), 1, k)
-    out = answers.select(F.col("id").alias("query_id"), F.posexplode(kept).alias("r", "b"))
-    return out.select("query_id", (F.col("r") + 1).cast("int").alias("rank"), F.col("b.id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+        return pa.table([pa.array(who, pa.int64()), _entries(*(np.concatenate([b[e] for b in best]) for e in range(3)), offsets)], schema=schema)
+
+    return nearest

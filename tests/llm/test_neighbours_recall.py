@@ -10,7 +10,7 @@ def test_lists_visited_grow_with_what_recall_takes(spark):
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got: dict[int, set] = {}
-    for r in neighbours.search(rows, list_size=12, ratio=1.0, least_lists=4).collect():
+    for r in neighbours.search(rows).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     x = x.astype(np.float64)
     found = 0
@@ -21,10 +21,11 @@ def test_lists_visited_grow_with_what_recall_takes(spark):
     assert found >= 0.92 * 300 * 20
 
 
-def test_lists_needed():
-    graph = neighbours.CentroidGraph(np.arange(50.0)[:, None] * [1.0, 0.0])
+def test_ratio_needed():
+    graph = neighbours.CentroidGraph(np.arange(1.0, 51.0)[:, None] * [1.0, 0.0])
     query = np.array([0.0])
-    assert neighbours.lists_needed(graph, [query], [[[0], [5, 40]]], 4, 1.0, 1.0) == 6
-    assert neighbours.lists_needed(graph, [query], [[[0], [3]]], 4, 1.0, 1.0) == 4
-    assert neighbours.lists_needed(graph, [query], [[[49]]], 4, 1.0, 1.0) == 50
-    assert neighbours.lists_needed(graph, [query], [[]], 4, 1.0) == 4
+    for wanted, ratio in (([[0], [5, 40]], 6), ([[0], [3]], 4), ([[49]], 50)):
+        got = neighbours.ratio_needed(graph, [query], [wanted], 1.0)
+        assert abs(got - ratio) < 1e-6 and set(graph.search(np.append(query, 0.0), got).tolist()) == set(range(ratio))
+    assert neighbours.ratio_needed(graph, [query], [[]], 1.0) == 1.0
+    assert neighbours.ratio_needed(graph, [query], [[[0], [1], [2], [9]]], 0.75) < 4
