@@ -9,8 +9,14 @@ from pyspark.sql import functions as F
 
 
 def summary(measurements: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Mean, least and number of the measurements of each setting."""
-    return measurements.groupBy(*keys).agg(F.avg(value).alias("mean"), F.min(value).alias("least"), F.count("*").alias("n"))
+    """Mean, least, largest and number of the measurements of each setting."""
+    return measurements.groupBy(*keys).agg(F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.count("*").alias("n"))
+
+
+def phase_maxima(timers: DataFrame, keys: Sequence[str], thread: str = "thread") -> DataFrame:
+    """The largest value over threads of each phase's timer, for each setting; a phase takes as long as its slowest thread."""
+    phases = [c for c in timers.columns if c not in (*keys, thread)]
+    return timers.groupBy(*keys).agg(*(F.max(c).alias(c) for c in phases))
 
 
 def overhead(measurements: DataFrame, keys: Sequence[str], variant: str, base: str, value: str = "value") -> DataFrame:

@@ -55,3 +55,21 @@ def test_bit(column: Column, bit: int) -> Column:
 
 def set_bit(column: Column, bit: int) -> Column:
     return column.bitwiseOR(1 << bit).cast("bigint")
+
+
+#: Fixed value: the low 32 bits of 2^64 over the golden ratio.
+FIBONACCI = 2135587861
+
+
+def hash_of(key: Column, kind: str = "identity") -> Column:
+    """A hash of an integer key. identity: the key; fibonacci: 32 bits of a multiplicative hash of its low 32 bits; crc32: of its text; murmur: Spark's."""
+    match kind:
+        case "identity":
+            return key.cast("bigint")
+        case "fibonacci":
+            return (key.cast("bigint").bitwiseAND(0xFFFFFFFF) * FIBONACCI).bitwiseAND(0xFFFFFFFF)
+        case "crc32":
+            return F.crc32(key.cast("string").cast("binary"))
+        case "murmur":
+            return F.hash(key).cast("bigint")
+    raise ValueError(f"unknown hash {kind!r}; known: identity, fibonacci, crc32, murmur")

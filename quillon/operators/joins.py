@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The names that callers know, each with Spark's join strategy. "unique" keeps one build row per key.
+#: The names that callers know, each with Spark's join strategy. "unique" keeps one build row per key, that of the smallest payload.
 JOIN_STRATEGIES = {
     "PHT": "broadcast",
     "PHT_no": "broadcast",
@@ -62,7 +62,7 @@ def hinted(r: DataFrame, s: DataFrame, strategy: str) -> tuple[DataFrame, DataFr
         case "lookup":  # the index is on the probe side
             return r, broadcast_if_small(s)
         case "unique":
-            return broadcast_if_small(r.dropDuplicates(["key"])), s
+            return broadcast_if_small(r.groupBy("key").agg(F.min("payload").alias("payload"))), s
         case "shuffle_hash" | "merge" | "shuffle_replicate_nl":
             return r.hint(strategy), s
     raise ValueError(f"unknown join strategy {strategy!r}; known: {', '.join(JOIN_STRATEGIES)}")
@@ -90,6 +90,17 @@ def block_nested_loop(r: DataFrame, s: DataFrame, materialize: bool = True, bits
     return out.select(F.col("r.key").alias("key"), F.col("r.payload").alias("r_payload"), F.col("s.payload").alias("s_payload"))
 
 
+def write_index(s: DataFrame, table: str, buckets: int = 16) -> DataFrame:
+    """The probe side as a table bucketed and sorted by key: joins with it leave it in place, however large it is."""
+    s.write.mode("overwrite").bucketBy(buckets, "key").sortBy("key").saveAsTable(table)
+    return s.sparkSession.table(table)
+
+
+def index_join(r: DataFrame, index: DataFrame, materialize: bool = True) -> DataFrame:
+    """What equi_join gives, with r moved to the buckets of an index that write_index made."""
+    return equi_join(r, index, "merge", materialize)
+
+
 def rekey(joined: DataFrame, key: str, payload: str) -> DataFrame:
     """A relation from a join's result, for the next join."""
     return joined.select(F.col(key).alias("key"), F.col(payload).alias("payload"))

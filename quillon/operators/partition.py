@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from quillon.functions.scalar import msb_bin, radix_bin
 
 
+#: Radix bits of a join at most.
+MOST_BITS = 14
+
+
 def histogram(df: DataFrame, bin_column: Column) -> DataFrame:
     """(bin, cnt) of the bins that have rows."""
     return df.groupBy(bin_column.cast("bigint").alias("bin")).agg(F.count("*").alias("cnt"))
@@ -29,10 +33,31 @@ def radix_partition(df: DataFrame, bin_column: Column, bins: int) -> DataFrame:
 
 
 def two_pass_bins(df: DataFrame, key: str, bits_1: int, bits_2: int) -> DataFrame:
-    """Bins of a first pass over the low bits and of a second over the next."""
-    return df.withColumns(
-        {"bin1": radix_bin(F.col(key), bits_1), "bin2": radix_bin(F.col(key), bits_2, bits_1)}
-    )
+    """Rows with their bins of a first pass over the low bits and of a second over the next, each pair of bins in a Spark partition of its own.
+
+    The second pass splits each partition of the first, so one shuffle to the pairs moves rows to where two would.
+    """
+    binned = df.withColumns({"bin1": radix_bin(F.col(key), bits_1), "bin2": radix_bin(F.col(key), bits_2, bits_1)})
+    return binned.repartitionById(1 << (bits_1 + bits_2), (F.col("bin1") * (1 << bits_2) + F.col("bin2")).cast("int"))
+
+
+def in_both(r: DataFrame, s: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Both relations with their bin, without the rows of bins that are empty on the other side; at most 2^bits bins are broadcast."""
+    bins = join_task_sizes(r, s, bits).select("bin")
+    binned = lambda df: df.withColumn("bin", radix_bin(F.col("key"), bits)).join(F.broadcast(bins), "bin", "left_semi")
+    return binned(r), binned(s)
+
+
+def radix_join(r: DataFrame, s: DataFrame, tuples_in_cache: int = 1 << 18, threads: int | None = None, rows: int | None = None) -> DataFrame:
+    """(key, r_payload, s_payload): both relations dealt by as many radix bits as r's rows take, empty pairs dropped, then joined bin by bin.
+
+    rows: of r, counted if not given. The bits are bounded by MOST_BITS, beyond which partitions are a shuffle's and not a cache's.
+    """
+    threads = threads or r.sparkSession.sparkContext.defaultParallelism
+    bits = min(MOST_BITS, num_radix_bits(r.count() if rows is None else rows, tuples_in_cache, threads))
+    left, right = (df.repartition(1 << bits, "bin") for df in in_both(r, s, bits))
+    joined = left.hint("shuffle_hash").alias("r").join(right.alias("s"), (F.col("r.bin") == F.col("s.bin")) & (F.col("r.key") == F.col("s.key")))
+    return joined.select(F.col("r.key").alias("key"), F.col("r.payload").alias("r_payload"), F.col("s.payload").alias("s_payload"))
 
 
 def join_task_sizes(r: DataFrame, s: DataFrame, bits: int) -> DataFrame:
@@ -87,4 +112,4 @@ def lookup_sum(probe: DataFrame, slot: Column, table: DataFrame) -> DataFrame:
     return counted.join(table, "slot").agg(F.coalesce(F.sum(F.col("cnt") * F.col("value")), F.lit(0)).cast("bigint").alias("total"))
 
 
-__all__ = ["histogram", "prefix_sum", "radix_partition", "two_pass_bins", "join_task_sizes", "num_radix_bits", "num_passes", "sort_by_key", "disorder", "scatter", "keyed_increment", "lookup_sum", "radix_bin", "msb_bin"]
+__all__ = ["histogram", "prefix_sum", "radix_partition", "two_pass_bins", "in_both", "radix_join", "join_task_sizes", "num_radix_bits", "num_passes", "sort_by_key", "disorder", "scatter", "keyed_increment", "lookup_sum", "radix_bin", "msb_bin"]

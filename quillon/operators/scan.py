@@ -9,11 +9,14 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.operators.joins import broadcast_if_small
+from quillon.operators.joins import broadcast_if_small, estimated_bytes
+from quillon.session import pinned
 
+#: A dictionary above this estimate is narrowed to the codes that the column has before it is joined.
+SMALL_DICTIONARY = 1 << 20
 OUTPUTS = ("count", "sum", "values", "positions", "index", "bitvector")
 
 
@@ -28,11 +31,11 @@ def range_scan(df: DataFrame, column: str, low: int, high: int, output: str = "c
     the matching rows. A bitvector has a row for each 64 positions, also those without a match, as two halves of 32 bits.
     """
     if output == "bitvector":
-        bit = lambda k: F.when(matches(column, low, high), F.pow(F.lit(2.0), k)).otherwise(0.0)
-        k = F.col(pos) % 64
+        k = (F.col(pos) % 64).cast("int")
+        bit = lambda half, shift: F.when(matches(column, low, high) & half, F.call_function("shiftleft", F.lit(1).cast("bigint"), shift)).otherwise(F.lit(0).cast("bigint"))
         return df.groupBy(F.floor(F.col(pos) / 64).cast("bigint").alias("word")).agg(
-            F.sum(F.when(k < 32, bit(k)).otherwise(0.0)).cast("bigint").alias("lo"),
-            F.sum(F.when(k >= 32, bit(k - 32)).otherwise(0.0)).cast("bigint").alias("hi"),
+            F.bit_or(bit(k < 32, k)).alias("lo"),
+            F.bit_or(bit(k >= 32, k - 32)).alias("hi"),
         )
     found = df.where(matches(column, low, high))
     match output:
@@ -49,10 +52,34 @@ def range_scan(df: DataFrame, column: str, low: int, high: int, output: str = "c
     raise ValueError(f"unknown output {output!r}; known: {', '.join(OUTPUTS)}")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it while the frame has such a column (names compare without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def code_range(dictionary: DataFrame, low: int, high: int) -> tuple[int, int] | None:
+    """The least and the largest code with a value in the range; all codes between, if the dictionary is sorted. None without such a code."""
+    least, most = dictionary.where(matches("value", low, high)).agg(F.min("code"), F.max("code")).first()
+    return None if least is None else (least, most)
+
+
 def dictionary_scan(df: DataFrame, code: str, dictionary: DataFrame, low: int, high: int) -> DataFrame:
-    """Decoded values in the range: the predicate goes to the dictionary (code, value), which then selects rows by code."""
-    hits = dictionary.where(matches("value", low, high)).select(F.col("code").alias("__code"), F.col("value").cast("bigint").alias("value"))
-    return df.join(broadcast_if_small(hits), df[code] == F.col("__code")).select("value")
+    """Decoded values in the range: the predicate goes to the dictionary (code, value) and becomes a range of codes, which reaches the scan.
+
+    The hits then decode, and in a dictionary that isn't sorted also choose, the rows in that range. The range takes a small job over the
+    dictionary; before a large one is joined, a second one over the code column narrows it to codes that are there.
+    """
+    found = code_range(dictionary, low, high)
+    rows = df.select(F.col(code).alias("code"))
+    rows = rows.where(F.col("code").between(*found)) if found else rows.where(F.lit(False))
+    hits = dictionary.where(matches("value", low, high)).select(F.col("code").alias("hit"), F.col("value").cast("bigint").alias("value"))
+    if found and estimated_bytes(dictionary) > SMALL_DICTIONARY:
+        least, most = rows.agg(F.min("code"), F.max("code")).first()
+        hits = hits.where(F.col("hit").between(least, most) if least is not None else F.lit(False))
+    return rows.join(broadcast_if_small(hits), F.col("code") == F.col("hit")).select("value")
 
 
 def identity_dictionary(spark, size: int, scale: int = 1, shift: int = 0) -> DataFrame:
@@ -63,18 +90,16 @@ def identity_dictionary(spark, size: int, scale: int = 1, shift: int = 0) -> Dat
 def with_positions(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
     """Adds a dense position from 0 in the given order, without a window over all rows in one task.
 
-    Range partitions are sorted, each counts its rows, and a running sum over the few counts gives each its first position. order should be
-    unique. The sorted rows are read twice, so the input must give the same rows each time.
+    Range partitions are sorted and written once, with each row's number in its partition; a running sum over the partitions' counts gives
+    each its first position. Rows alike in order come in any order.
     """
-    parts = df.repartitionByRange(*(F.col(c) for c in order)).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-    part = F.shiftrightunsigned("__id", 33)
-    counts = parts.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
-    from pyspark.sql import Window
-
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("__part", before.alias("__start"))
-    out = parts.withColumn("__part", part).join(F.broadcast(starts), "__part")  # one row a partition
-    return out.withColumn(name, F.col("__start") + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__part", "__start", "__id")
+    id_, part, n, start = (free_name(df, x) for x in ("__id", "__part", "__n", "__start"))
+    ranged = df.repartitionByRange(*(F.col(c) for c in order)).sortWithinPartitions(*order)
+    rows = pinned(ranged.withColumn(id_, F.monotonically_increasing_id()).withColumn(part, F.shiftrightunsigned(id_, 33)))
+    counts = rows.groupBy(part).agg(F.count("*").alias(n))
+    before = F.coalesce(F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = rows.join(F.broadcast(counts.select(part, before.alias(start))), part)  # one row a partition
+    return out.withColumn(name, F.col(start) + F.col(id_).bitwiseAND((1 << 33) - 1)).drop(part, start, id_)
 
 
 def selectivity_to_high(percent: float, top: int = 255) -> int:

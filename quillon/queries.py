@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from quillon.operators import filters, joins, partition, scan
 from quillon.operators.filters import filter_project
 from quillon.plans import tpch
 from quillon.registry import REGISTRY
-from quillon.sources import generators
+from quillon.session import shared_folder
+from quillon.sources import files, generators
 from quillon.tables import LINEITEM_SQL, PART_SQL, load, with_container, with_shipping
 
 query = REGISTRY.add
@@ -81,24 +84,16 @@ for _name, (_table, _predicate, _columns, _sql) in FILTERS.items():
 # --- joins: R = orders by order key, S = lineitem by order key
 
 
-def _rs(spark: SparkSession, d: str, below: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _rs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     r = joins.relation(load(spark, d, "orders"), "o_orderkey", "o_custkey")
-    s = joins.relation(load(spark, d, "lineitem"), "l_orderkey", "l_partkey")
-    return (r, s) if below is None else (r.where(F.col("key") < below), s.where(F.col("key") < below))
+    return r, joins.relation(load(spark, d, "lineitem"), "l_orderkey", "l_partkey")
 
 
 RS = "FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
-#: join_nested_loop and join_count_all_strategies are cut to these keys by their SQL; the queries ending in _whole have whole relations.
-NL_BELOW = 500
 for _name, _strategy in {"join_broadcast_hash": "PHT_o", "join_shuffle_hash": "RHO", "join_sort_merge": "MWAY", "join_index_lookup": "INL", "join_unique_build": "CHT"}.items():
     query(_name, f"SELECT COUNT(*) AS cnt {RS}")(lambda spark, d, s=_strategy: joins.equi_join(*_rs(spark, d), s, materialize=False))
 
 
-@query("join_nested_loop", f"SELECT COUNT(*) AS cnt {RS} WHERE o_orderkey < {NL_BELOW}")
-def join_nested_loop(spark: SparkSession, d: str) -> DataFrame:
-    return joins.equi_join(*_rs(spark, d, NL_BELOW), "NL", materialize=False)
-
-
 @query("join_materialize", f"SELECT o_orderkey AS key, o_custkey AS r_payload, l_partkey AS s_payload {RS}")
 def join_materialize(spark: SparkSession, d: str) -> DataFrame:
     return joins.equi_join(*_rs(spark, d), "RHO")
@@ -116,23 +111,27 @@ def join_checksum(spark: SparkSession, d: str) -> DataFrame:
     return joins.checksum(joins.equi_join(*_rs(spark, d), "CHT"))
 
 
-@query("join_count_all_strategies", "SELECT strategy, cnt FROM (VALUES " + ", ".join(f"('{s}')" for s in joins.JOIN_STRATEGIES) + f") t(strategy), (SELECT COUNT(*) AS cnt {RS} WHERE o_orderkey < {NL_BELOW})")
-def join_count_all_strategies(spark: SparkSession, d: str) -> DataFrame:
-    one = lambda s: joins.equi_join(*_rs(spark, d, NL_BELOW), s, materialize=False).select(F.lit(s).alias("strategy"), "cnt")
-    return joins.union_fragments(*(one(s) for s in joins.JOIN_STRATEGIES))
-
-
-@query("join_nested_loop_whole", f"SELECT COUNT(*) AS cnt {RS}")
-def join_nested_loop_whole(spark: SparkSession, d: str) -> DataFrame:
+def _nested_loop(spark: SparkSession, d: str) -> DataFrame:
     return joins.block_nested_loop(*_rs(spark, d), materialize=False)
 
 
-@query("join_count_all_strategies_whole", "SELECT strategy, cnt FROM (VALUES " + ", ".join(f"('{s}')" for s in joins.JOIN_STRATEGIES) + f") t(strategy), (SELECT COUNT(*) AS cnt {RS})")
-def join_count_all_strategies_whole(spark: SparkSession, d: str) -> DataFrame:
-    counted = lambda s: joins.block_nested_loop(*_rs(spark, d), materialize=False) if s == "NL" else joins.equi_join(*_rs(spark, d), s, materialize=False)
+def _count_all(spark: SparkSession, d: str) -> DataFrame:
+    counted = lambda s: _nested_loop(spark, d) if s == "NL" else joins.equi_join(*_rs(spark, d), s, materialize=False)
     return joins.union_fragments(*(counted(s).select(F.lit(s).alias("strategy"), "cnt") for s in joins.JOIN_STRATEGIES))
 
 
+#: Both names of each query join whole relations.
+for _name in ("join_nested_loop", "join_nested_loop_whole"):
+    query(_name, f"SELECT COUNT(*) AS cnt {RS}")(_nested_loop)
+for _name in ("join_count_all_strategies", "join_count_all_strategies_whole"):
+    query(_name, "SELECT strategy, cnt FROM (VALUES " + ", ".join(f"('{s}')" for s in joins.JOIN_STRATEGIES) + f") t(strategy), (SELECT COUNT(*) AS cnt {RS})")(_count_all)
+
+
+@query("join_radix", f"SELECT o_orderkey AS key, o_custkey AS r_payload, l_partkey AS s_payload {RS}")
+def join_radix(spark: SparkSession, d: str) -> DataFrame:
+    return partition.radix_join(*_rs(spark, d))
+
+
 # --- scans: a code column over events, whose event_id is a dense position
 
 
@@ -157,6 +156,11 @@ CAST(SUM(CASE WHEN {IN} AND event_id % 64 >= 32 THEN POWER(2, event_id % 64 - 32
 query("scan_empty_range", "SELECT COUNT(*) AS cnt FROM events WHERE event_id % 256 BETWEEN 300 AND 400")(_scan("count", 300, 400))
 
 
+@query("scan_with_positions", "SELECT o_orderkey, CAST(ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS pos FROM orders")
+def scan_with_positions(spark: SparkSession, d: str) -> DataFrame:
+    return scan.with_positions(load(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])
+
+
 @query("scan_prune", "SELECT l_orderkey, l_shipdate FROM lineitem WHERE l_quantity < 5")
 def scan_prune(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "lineitem").where("l_quantity < 5").select("l_orderkey", "l_shipdate")
@@ -279,8 +283,29 @@ def concat_fragments(spark: SparkSession, d: str) -> DataFrame:
 query("gen_pk", "SELECT range AS key, range AS payload FROM range(1, 10001)")(lambda spark, d: generators.pk(spark, 10_000, shuffle_seed=11111))
 query("gen_fk", "SELECT range % 3000 + 1 AS key, range AS payload FROM range(10000)")(lambda spark, d: generators.fk(spark, 10_000, 3000))
 query("gen_fk_sel", "SELECT range % 10000 + 1 AS key, range AS payload FROM range(10000)")(lambda spark, d: generators.fk_selectivity(spark, 10_000, 1000, 10))
+query("gen_pk_sel", "SELECT CAST(1 + FLOOR(range * 100 / 30) AS BIGINT) AS key, range AS payload FROM range(10000)")(lambda spark, d: generators.pk_selectivity(spark, 10_000, 30))
 query("gen_zipf")(lambda spark, d: generators.zipf(spark, 10_000, 1000, 1.5, seed=7))
 
+
+@query("gen_zipf_events", """WITH w AS (SELECT range AS k, SUM(1.0::DOUBLE / POWER(range, 1.5)) OVER (ORDER BY range) AS c FROM range(1, 1001)),
+u AS (SELECT event_id AS payload, (event_id * 40503 % 65536 + 0.5) / 65536 * (SELECT MAX(c) FROM w) AS x FROM events)
+SELECT k AS key, payload FROM u ASOF JOIN w ON u.x < w.c""")
+def gen_zipf_events(spark: SparkSession, d: str) -> DataFrame:
+    u = ((F.col("event_id") * 40503 % 65536 + 0.5) / 65536).alias("u")
+    return generators.zipf_of(load(spark, d, "events").select(u, F.col("event_id").alias("payload")), 1000, 1.5)
+
+
+# --- text tables
+
+
+@query("src_tbl_roundtrip", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders")
+def src_tbl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    path, o = f"{shared_folder(spark)}/orders-{uuid4().hex}.tbl", load(spark, d, "orders")
+    rest = {"o_orderdate": F.col("o_orderdate").cast("date"), "o_clerk": F.lit("c"), "o_shippriority": F.lit(0), "o_comment": F.lit(None).cast("string")}
+    files.write_tbl(o.withColumns(rest), path)
+    return files.read_tbl(spark, path, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"])
+
+
 # --- functions
 
 
@@ -303,6 +328,12 @@ def fn_radix(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "orders").select("o_orderkey", scalar.radix_bin(key, 7, 3).alias("low_bin"), scalar.msb_bin(key, 7, 20).alias("high_bin"))
 
 
+@query("fn_hash", f"SELECT o_orderkey, o_orderkey AS identity, ((o_orderkey & 4294967295) * {scalar.FIBONACCI}) & 4294967295 AS fibonacci FROM orders")
+def fn_hash(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    return load(spark, d, "orders").select("o_orderkey", scalar.hash_of(key).alias("identity"), scalar.hash_of(key, "fibonacci").alias("fibonacci"))
+
+
 @query("fn_bits", """SELECT o_orderkey, CAST(CASE WHEN o_orderkey <= 1 THEN 1 ELSE POWER(2, CEIL(LOG2(o_orderkey))) END AS BIGINT) AS power,
 CAST(FLOOR(LOG2(o_orderkey + 1)) AS BIGINT) AS log, CAST(BIT_COUNT(o_orderkey) AS BIGINT) AS ones, (o_orderkey >> 3) & 1 AS bit3, o_orderkey | 8 AS with3 FROM orders""")
 def fn_bits(spark: SparkSession, d: str) -> DataFrame:

@@ -8,22 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_KINDS = {"b": T.LongType(), "i": T.IntegerType(), "d": T.DoubleType(), "s": T.StringType(), "t": T.DateType()}
-
-
-def _schema(columns: str) -> T.StructType:
-    return T.StructType([T.StructField(c[:-2], _KINDS[c[-1]]) for c in columns.split()])
-
-
 #: Columns of the benchmark's text tables, in file order.
 TBL = {
-    "lineitem": _schema("l_orderkey:b l_partkey:b l_suppkey:b l_linenumber:i l_quantity:d l_extendedprice:d l_discount:d l_tax:d l_returnflag:s l_linestatus:s l_shipdate:t l_commitdate:t l_receiptdate:t l_shipinstruct:s l_shipmode:s l_comment:s"),
-    "orders": _schema("o_orderkey:b o_custkey:b o_orderstatus:s o_totalprice:d o_orderdate:t o_orderpriority:s o_clerk:s o_shippriority:i o_comment:s"),
-    "customer": _schema("c_custkey:b c_name:s c_address:s c_nationkey:i c_phone:s c_acctbal:d c_mktsegment:s c_comment:s"),
-    "part": _schema("p_partkey:b p_name:s p_mfgr:s p_brand:s p_type:s p_size:i p_container:s p_retailprice:d p_comment:s"),
-    "supplier": _schema("s_suppkey:b s_name:s s_address:s s_nationkey:i s_phone:s s_acctbal:d s_comment:s"),
-    "nation": _schema("n_nationkey:i n_name:s n_regionkey:i n_comment:s"),
-    "region": _schema("r_regionkey:i r_name:s r_comment:s"),
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate date, l_commitdate date, l_receiptdate date, l_shipinstruct string, l_shipmode string, l_comment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate date, o_orderpriority string, o_clerk string, o_shippriority int, o_comment string",
+    "customer": "c_custkey bigint, c_name string, c_address string, c_nationkey int, c_phone string, c_acctbal double, c_mktsegment string, c_comment string",
+    "part": "p_partkey bigint, p_name string, p_mfgr string, p_brand string, p_type string, p_size int, p_container string, p_retailprice double, p_comment string",
+    "supplier": "s_suppkey bigint, s_name string, s_address string, s_nationkey int, s_phone string, s_acctbal double, s_comment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int, n_comment string",
+    "region": "r_regionkey int, r_name string, r_comment string",
 }
 
 
@@ -32,7 +25,7 @@ def read_tbl(spark: SparkSession, path: str, table: str, columns: Iterable[str]
 
     Malformed rows, as far as the columns read show it, go, or with keep_malformed stay with NULL where a field can't be read and the line in _corrupt_record.
     """
-    schema = TBL[table]
+    schema = T._parse_datatype_string(TBL[table])
     read = T.StructType([*schema.fields, T.StructField("_end", T.StringType())])
     if keep_malformed:
         read = read.add("_corrupt_record", T.StringType())

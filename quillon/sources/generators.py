@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,12 @@ def pk(spark: SparkSession, n: int, shuffle_seed: int | None = None) -> DataFram
     return out if shuffle_seed is None else out.orderBy(F.rand(shuffle_seed))
 
 
+def pk_selectivity(spark: SparkSession, n: int, percent: int) -> DataFrame:
+    """n different keys spread so that percent of the numbers from 1 to the largest are keys: key i is 1 + i * 100 / percent, cut."""
+    key = (F.lit(1) + F.floor(F.col("id") * 100 / percent)).cast("bigint")
+    return spark.range(n).select(key.alias("key"), F.col("id").alias("payload"))
+
+
 def fk(spark: SparkSession, n: int, max_id: int) -> DataFrame:
     """n rows: every key from 1 to max_id as often as n allows, the remainder from 1 on."""
     return spark.range(n).select((F.col("id") % max_id + 1).alias("key"), F.col("id").alias("payload"))
@@ -42,14 +49,20 @@ def uniform(spark: SparkSession, n: int, max_id: int, seed: int = 0) -> DataFram
 
 
 def zipf(spark: SparkSession, n: int, max_id: int, s: float, seed: int = 0) -> DataFrame:
-    """Keys 1 to max_id with weight 1 / key^s, by inversion of the distribution (8 bytes a key in each worker)."""
+    """n keys 1 to max_id with weight 1 / key^s, drawn by random numbers."""
+    return zipf_of(spark.range(n).select(F.rand(seed).alias("u"), F.col("id").alias("payload")), max_id, s)
+
+
+def zipf_of(drawn: DataFrame, max_id: int, s: float) -> DataFrame:
+    """Keys of numbers (u from 0 to below 1, payload), by inversion of the distribution, which each task has once (8 bytes a key)."""
 
     @F.pandas_udf("bigint")
-    def inverted(u: pd.Series) -> pd.Series:
+    def inverted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights = np.cumsum(1.0 / np.arange(1, max_id + 1) ** s)
-        return pd.Series(np.minimum(np.searchsorted(weights, u.to_numpy() * weights[-1], side="right"), max_id - 1) + 1)
+        for u in batches:
+            yield pd.Series(np.minimum(np.searchsorted(weights, u.to_numpy() * weights[-1], side="right"), max_id - 1) + 1)
 
-    return spark.range(n).select(inverted(F.rand(seed)).alias("key"), F.col("id").alias("payload"))
+    return drawn.select(inverted("u").alias("key"), "payload")
 
 
 def ramp(spark: SparkSession, n: int, codes: int = 256) -> DataFrame:
@@ -62,10 +75,11 @@ def keyed_rows(spark: SparkSession, n: int, num_keys: int) -> DataFrame:
 
 
 def slots(spark: SparkSession, n: int, bins: int, kind: str = "random", seed: int = 0) -> DataFrame:
-    """Slot numbers below bins: random, or linear (row number mod bins)."""
-    if kind not in ("random", "linear"):
-        raise ValueError(f"unknown kind {kind!r}; known: random, linear")
-    slot = F.col("id") % bins if kind == "linear" else F.floor(F.rand(seed) * bins).cast("bigint")
+    """Slot numbers below bins: random, linear (row number mod bins), or pointer (linear, as the offset of a slot of four bytes)."""
+    if kind not in ("random", "linear", "pointer"):
+        raise ValueError(f"unknown kind {kind!r}; known: random, linear, pointer")
+    linear = F.col("id") % bins
+    slot = {"random": F.floor(F.rand(seed) * bins).cast("bigint"), "linear": linear, "pointer": linear * 4}[kind]
     return spark.range(n).select(slot.alias("slot"))
 
 

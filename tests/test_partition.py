@@ -106,3 +106,47 @@ def test_join_text_and_equality(spark, tmp_path):
     files.write_join_text(joined, f"{tmp_path}/j")
     back = spark.read.schema("key long, r_payload long, s_payload long").csv(f"{tmp_path}/j")
     assert joins.same_rows(joined, back) and not joins.same_rows(joined, back.limit(3)) and back.count() == 12
+
+
+def test_pairs_of_bins_have_their_partitions(spark):
+    out = partition.two_pass_bins(generators.keyed_rows(spark, 600, 150), "key", 2, 3)
+    assert out.count() == 600 and out.where(F.spark_partition_id() != F.col("bin1") * 8 + F.col("bin2")).count() == 0
+
+
+def test_radix_join_drops_empty_bins(spark):
+    from quillon.operators import joins
+
+    r, s = generators.pk(spark, 50), generators.fk(spark, 300, 20).unionByName(spark.createDataFrame([(None, 1), (4096, 2)], "key long, payload long"))
+    left, right = partition.in_both(r, s, 6)
+    assert {x.bin for x in left.select("bin").collect()} == {x.bin for x in right.select("bin").collect()}
+    for rows, cache in ((None, 16), (0, 1 << 18)):
+        assert joins.same_rows(partition.radix_join(r, s, cache, 4, rows), joins.equi_join(r, s))
+
+
+def test_selective_keys_slots_and_hashes(spark):
+    keys = [x.key for x in generators.pk_selectivity(spark, 10, 30).collect()]
+    assert keys == [int(1 + i * 100 / 30) for i in range(10)]
+    assert {x.slot for x in generators.slots(spark, 10, 4, "pointer").collect()} == {0, 4, 8, 12}
+    row = spark.range(1).select(*(scalar.hash_of(F.lit(k).cast("bigint"), "fibonacci") for k in (0, 1, 2**32 - 1, 2**40 + 7))).first()
+    assert list(row) == [k * 11400714819323198485 % 2**32 for k in (0, 1, 2**32 - 1, 2**40 + 7)]
+    assert all(spark.range(1).select(scalar.hash_of(F.col("id"), k)).first()[0] is not None for k in ("identity", "crc32", "murmur"))
+
+
+def test_phase_maxima(spark):
+    from quillon.functions import metrics
+
+    timers = spark.createDataFrame([("q", 0, 3, 9), ("q", 1, 5, 2)], "query string, thread int, build long, probe long")
+    assert tuple(metrics.phase_maxima(timers, ["query"]).first()) == ("q", 5, 9)
+
+
+def test_an_index_stays_in_place(spark):
+    from quillon.operators import joins
+
+    r, s = generators.pk(spark, 40), generators.fk(spark, 400, 60)
+    index = joins.write_index(s, "quillon_index", 4)
+    try:
+        out = joins.index_join(r, index)
+        assert joins.same_rows(out, joins.equi_join(r, s))
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    finally:
+        spark.sql("DROP TABLE quillon_index")

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.operators import scan
 from quillon.sources import generators
@@ -53,3 +54,32 @@ def test_selectivity_and_sweeps():
     assert [scan.selectivity_to_high(p) for p in (0, 1, 50, 100)] == [0, 3, 128, 255]
     assert list(scan.spans(1, 16, 1, doubling=True)) == [1, 2, 4, 8, 16] and list(scan.spans(1, 7, 3)) == [1, 4, 7]
     assert len(scan.configurations(["a", "b"], [1, 2], [64], [1, 5, 10])) == 12
+
+
+def test_names_of_the_operator_in_the_table(spark):
+    data = generators.ramp(spark, 512).withColumns({c: F.lit("x") for c in ("value", "__code", "hit", "__id", "__part", "__n", "__start")})
+    assert scan.dictionary_scan(data, "code", scan.identity_dictionary(spark, 256), 3, 4).count() == 4
+    out = scan.with_positions(data.drop("pos"), ["code"])
+    assert out.columns == [*data.drop("pos").columns, "pos"] and sorted(r.pos for r in out.select("pos").collect()) == list(range(512))
+
+
+def test_the_predicate_becomes_a_range_of_codes(spark, tmp_path):
+    generators.ramp(spark, 4096).write.parquet(f"{tmp_path}/codes")
+    data = spark.read.parquet(f"{tmp_path}/codes")
+    dictionary = scan.identity_dictionary(spark, 256, shift=-128)
+    assert scan.code_range(dictionary, -10, 5) == (118, 133) and scan.code_range(dictionary, 500, 600) is None
+    plan = scan.dictionary_scan(data, "code", dictionary, -10, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(code,118)" in plan and "LessThanOrEqual(code,133)" in plan
+    mixed = spark.createDataFrame([(0, 5), (1, 100), (2, 6)], "code long, value long")
+    assert sorted(r.value for r in scan.dictionary_scan(data, "code", mixed, 5, 6).distinct().collect()) == [5, 6]
+
+
+def test_large_dictionaries_are_narrowed_to_codes_that_are_there(spark):
+    data = spark.range(1000, 2000).selectExpr("id AS code")
+    assert scan.dictionary_scan(data, "code", scan.identity_dictionary(spark, 1 << 20), 5, 1 << 20).count() == 1000
+    assert scan.dictionary_scan(data, "code", scan.identity_dictionary(spark, 1 << 20), 5, 50).count() == 0
+
+
+def test_repeated_positions_set_a_bit_once(spark):
+    df = spark.createDataFrame([(3, 1), (3, 1), (63, 1), (40, 9)], "pos long, v long")
+    assert [tuple(r) for r in scan.range_scan(df, "v", 1, 1, "bitvector").collect()] == [(0, 1 << 3, 1 << 31)]
