@@ -6,7 +6,6 @@ words have equal hashes in every process, and different words collide with a cha
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from uuid import uuid4
@@ -16,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.session import pinned, shared_folder
+
 #: Bytes of text handled at once by a worker.
 BLOCK = 1 << 19
 _U = np.uint64
@@ -30,23 +31,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one where it is unset and driver and executors are one process."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def pinned(df: DataFrame) -> DataFrame:
-    """The frame written to the shared folder, and read back: its lineage ends there. Spark removes it when it is no longer used."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 class Scratch:
     """Parquet tables in the shared folder that end the lineage of a job's steps, and are gone when the block ends."""
 
