@@ -250,8 +250,10 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, round
     hashes = np.concatenate([h for h, _ in found]) if found else np.zeros(0, np.uint64)
     doc = np.concatenate([d for _, d in found]) if found else np.zeros(0, np.int64)
     bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+    del found
     seen, counts = np.unique(hashes, return_counts=True)
     lexicon = seen[counts >= LEAST]
+    del seen, counts
     word_table = np.zeros((len(lexicon) + 1, 1 + WORD_SIZE), np.float32)
     gram_table = np.zeros((1 << GRAM_BITS, 1 + GRAM_SIZE), np.float32)
     model = Model(lexicon, word_table, gram_table, Network(2 + WORD_SIZE + GRAM_SIZE, seed=seed))
@@ -278,9 +280,13 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, round
     weight = np.where(toxic == 1, share / toxic.mean(), (1 - share) / (1 - toxic.mean()))
     text, first, length = windows_of(bounds)
     net, adam, g1 = model.network, Adam(0.02), 1 + GRAM_SIZE
+    x = np.empty((len(hashes), 2 + WORD_SIZE + GRAM_SIZE), np.float32)
     for turn in range(rounds):
         if turn % 3 == 0:  # pick each text's highest window anew
-            x = np.concatenate([model.inputs(data, words) for _, data, _, words in each()])
+            at = 0
+            for _, data, _, words in each():
+                x[at : at + len(words.start)] = model.inputs(data, words)
+                at += len(words.start)
             logit = np.empty(len(text))
             for i in range(0, len(text), BATCH // WINDOW):  # windows are in the order of their words
                 at = np.arange(i, min(len(text), i + BATCH // WINDOW))
@@ -293,7 +299,7 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, round
                 lead = np.max([odds[first + np.minimum(t, length - 1)] for t in range(WINDOW)], 0)
                 best = highest(text, lead, toxic)
             # Four-grams of the words in these windows, by number of the word.
-            used, sizes, grams, at = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64), [], 0
+            used, sizes, grams, at = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int32), [], 0
             for t in range(WINDOW):
                 used[first[best] + np.minimum(t, length[best] - 1)] = True
             for _, data, _, words in each():
@@ -301,7 +307,8 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, round
                 place, sizes[at + own] = word_bytes(words, own)
                 grams.append(gram_rows(data, words)[place])
                 at += len(words.start)
-            grams, begins = np.concatenate(grams), np.cumsum(sizes) - sizes
+            grams, begins = np.concatenate(grams), np.cumsum(sizes, dtype=np.int64) - sizes
+            del data, words, place
         best = rng.permutation(best)
         for i in range(0, len(best), 256):
             at = best[i : i + 256]
