@@ -3,9 +3,9 @@
 A vector x gets one more component, sqrt(M^2 - |x|^2) with M the largest norm, and a query a zero: then the largest inner product is the
 smallest distance. Centroids are fitted by k-means that evens out list sizes, on a bounded sample; every vector is then put into the list of
 its nearest centroid and, if it lies near a boundary, into up to REPLICAS - 1 more. A query walks a graph of centroids in memory, best first,
-and visits the lists whose centroid is no farther than a ratio times the nearest one's distance. The ratio is measured on the index: the
-smallest with which the lists visited have the share TARGET of the true neighbours of TRIALS queries, found among all vectors. Where vectors
-lie in clusters few lists suffice, where they don't many. There are about 2 sqrt(n) lists, so that lists and what a query reads of the graph
+and visits the lists whose centroid is no farther than a ratio times the nearest one's distance, up to a number of lists. Both are measured on
+the index: of those with which the lists visited have the share TARGET of the true neighbours of TRIALS queries, found among all vectors, the
+pair that visits fewest. Where vectors lie in clusters few lists suffice, where they don't many. There are about 2 sqrt(n) lists, so that lists and what a query reads of the graph
 grow with the root of the table. Long lists are cut into chunks and a list's queries into parts, so that no task grows with a list.
 
 Vectors of different dimensions have no inner product, so each dimension is searched by itself; one of at most WHOLE vectors is one list.
@@ -95,15 +95,16 @@ class CentroidGraph:
             self.entries.append(int(d.argmax()))
             d = np.minimum(d, ((centroids - centroids[self.entries[-1]]) ** 2).sum(1))
 
-    def search(self, q: np.ndarray, ratio: float, sizes: np.ndarray | None = None, need: int = 0) -> np.ndarray:
-        """Centroids within ratio times the nearest one's distance, nearest first, and as many more as have lists of need entries in all.
+    def search(self, q: np.ndarray, ratio: float, count: int | None = None, sizes: np.ndarray | None = None, need: int = 0) -> np.ndarray:
+        """The nearest count centroids within ratio times the nearest one's distance, and as many more as have lists of need entries in all.
 
-        The walk goes on while among the last BEAM there were any.
+        Nearest first. The walk goes on while among the last BEAM there were any within the ratio, or half as many more as count.
         """
+        count = len(self.centroids) if count is None else count
         todo = list(zip(((self.centroids[self.entries] - q) ** 2).sum(1).tolist(), self.entries, strict=True))
         heapq.heapify(todo)
         seen, found, nearest, beyond, have = set(self.entries), [], np.inf, 0, 0
-        while todo and (beyond < BEAM or have < need):
+        while todo and (beyond < BEAM and len(found) < count + count // 2 + BEAM or have < need):
             d, at = heapq.heappop(todo)
             have += sizes[at] if need else 0
             nearest = min(nearest, d)
@@ -115,7 +116,7 @@ class CentroidGraph:
                 heapq.heappush(todo, (dj, j))
         found.sort()
         before = np.cumsum([0, *(sizes[j] for _, j in found[:-1])]) if need else np.full(len(found), need)
-        return np.array([j for i, (d, j) in enumerate(found) if not i or before[i] < need or d <= nearest * ratio**2], np.int64)
+        return np.array([j for i, (d, j) in enumerate(found) if not i or before[i] < need or i < count and d <= nearest * ratio**2], np.int64)
 
 
 def _matrix(column) -> np.ndarray:
@@ -189,20 +190,33 @@ def true_lists(classes: DataFrame, index, asked: list[tuple[int, np.ndarray]], k
     return [rows.get(i, []) for i in range(len(asked))]
 
 
-def ratio_needed(graph: CentroidGraph, queries: list[np.ndarray], wanted: list[list[list[int]]], target: float = TARGET) -> float:
-    """The ratio with which the lists visited hold the share target of the wanted entries (for each query, each entry's lists)."""
-    needs = []
+def cut_needed(graph: CentroidGraph, queries: list[np.ndarray], wanted: list[list[list[int]]], target: float = TARGET) -> tuple[float, int]:
+    """The ratio and the number of lists that visit fewest lists of those that reach the share target of the wanted entries.
+
+    wanted: for each query, each entry's lists.
+    """
+    ratios, ranks, within = [], [], []
     for q, own in zip(queries, wanted, strict=True):
         d = np.sqrt(distances(np.append(q, 0.0)[None], graph.centroids)[0])
-        needs += [d[lists].min() / max(d.min(), 1e-12) for lists in own]
-    if not needs:
-        return 1.0
-    ratio = float(np.sort(needs)[max(0, int(np.ceil(target * len(needs))) - 1)]) * (1 + 1e-9)
-    while True:  # a walk may miss a centroid within the ratio
-        visited = [set(graph.search(np.append(q, 0.0), ratio).tolist()) for q in queries]
-        if sum(not seen.isdisjoint(lists) for seen, own in zip(visited, wanted, strict=True) for lists in own) >= target * len(needs) or all(len(v) == len(graph.centroids) for v in visited):
-            return ratio
-        ratio *= 1.02
+        d /= max(d.min(), 1e-12)
+        rank = np.argsort(np.argsort(d, kind="stable"), kind="stable")
+        best = [min(lists, key=d.__getitem__) for lists in own]
+        ratios += [d[j] for j in best]
+        ranks += [rank[j] for j in best]
+        within.append(np.sort(d))
+    if not ratios:
+        return 1.0, 1
+    ratios, ranks, needed = np.array(ratios), np.array(ranks), max(1, int(np.ceil(target * len(ratios))))
+    options = []
+    for ratio in np.unique(np.sort(ratios)[np.linspace(needed - 1, len(ratios) - 1, 16).astype(int)]) * (1 + 1e-9):
+        count = int(np.sort(ranks[ratios <= ratio])[needed - 1]) + 1
+        options.append((float(np.mean([min(count, np.searchsorted(d, ratio, side="right")) for d in within])), float(ratio), count))
+    _, ratio, count = min(options)
+    while True:  # a walk may miss a centroid
+        visited = [set(graph.search(np.append(q, 0.0), ratio, count).tolist()) for q in queries]
+        if sum(not seen.isdisjoint(lists) for seen, own in zip(visited, wanted, strict=True) for lists in own) >= needed or all(len(v) == len(graph.centroids) for v in visited):
+            return ratio, count
+        ratio, count = ratio * 1.02, count + (count + 19) // 20
 
 
 def _dealt(classes: DataFrame, queries: DataFrame, scratch: Scratch, dimension: int, n: int, most: float, k: int, target: float) -> tuple[DataFrame, DataFrame]:
@@ -214,10 +228,10 @@ def _dealt(classes: DataFrame, queries: DataFrame, scratch: Scratch, dimension:
     graph = CentroidGraph(balanced_centroids(augmented(_matrix(sample["v"]), most), lists))
     index = spark.sparkContext.broadcast((graph, most))  # at most MOST_LISTS centroids
     trials = queries.orderBy(F.xxhash64("h", F.lit(1)), "v").limit(TRIALS).toArrow()
-    ratio = 1.0
+    ratio, count = 1.0, 1
     if trials.num_rows:
         tried = list(_matrix(trials["v"]))
-        ratio = ratio_needed(graph, tried, true_lists(classes, index, list(zip(trials["h"].to_pylist(), tried, strict=True)), k), target)
+        ratio, count = cut_needed(graph, tried, true_lists(classes, index, list(zip(trials["h"].to_pylist(), tried, strict=True)), k), target)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph, most = index.value
@@ -231,7 +245,7 @@ def _dealt(classes: DataFrame, queries: DataFrame, scratch: Scratch, dimension:
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (graph, _), counts = index.value, sizes.value
         for batch in batches:
-            out = [graph.search(np.append(q, 0.0), ratio, counts, REPLICAS * (k + 1)) for q in _matrix(batch.column(0))]
+            out = [graph.search(np.append(q, 0.0), ratio, count, counts, REPLICAS * (k + 1)) for q in _matrix(batch.column(0))]
             at = pa.array(np.repeat(np.arange(len(out)), [len(x) for x in out]), pa.int64())
             lists = np.concatenate(out) if out else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], names=["list", "v", "h"])

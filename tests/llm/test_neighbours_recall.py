@@ -21,11 +21,12 @@ def test_lists_visited_grow_with_what_recall_takes(spark):
     assert found >= 0.92 * 300 * 20
 
 
-def test_ratio_needed():
+def test_cut_needed():
     graph = neighbours.CentroidGraph(np.arange(1.0, 51.0)[:, None] * [1.0, 0.0])
     query = np.array([0.0])
-    for wanted, ratio in (([[0], [5, 40]], 6), ([[0], [3]], 4), ([[49]], 50)):
-        got = neighbours.ratio_needed(graph, [query], [wanted], 1.0)
-        assert abs(got - ratio) < 1e-6 and set(graph.search(np.append(query, 0.0), got).tolist()) == set(range(ratio))
-    assert neighbours.ratio_needed(graph, [query], [[]], 1.0) == 1.0
-    assert neighbours.ratio_needed(graph, [query], [[[0], [1], [2], [9]]], 0.75) < 4
+    for wanted, lists in (([[0], [5, 40]], 6), ([[0], [3]], 4), ([[49]], 50)):
+        ratio, count = neighbours.cut_needed(graph, [query], [wanted], 1.0)
+        assert set(graph.search(np.append(query, 0.0), ratio, count).tolist()) == set(range(lists))
+    assert neighbours.cut_needed(graph, [query], [[]], 1.0) == (1.0, 1)
+    ratio, count = neighbours.cut_needed(graph, [query], [[[0], [1], [2], [9]]], 0.75)
+    assert len(graph.search(np.append(query, 0.0), ratio, count)) == 3
