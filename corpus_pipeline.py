@@ -16,27 +16,27 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language."""
+    """Documents with a recognised language; NULL and empty texts and those without letters go, long ones are read whole."""
     return language.keep_known(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group joined by 5-word shingle similarity of 0.8 or more."""
+    """One document of each group joined by 5-word shingle similarity of 0.8 or more; texts without words all stay."""
     return jaccard.deduplicate(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage like a benchmark item."""
+    """Documents without a passage like a benchmark item; NULL and empty texts stay."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents replicated to the sources' target weights, globally shuffled."""
+    """Documents replicated to the sources' target weights, globally shuffled; NULL is a source, rows without doc_id go by their text."""
     return mixing.mix(docs).select(*docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each copy with its shard."""
+    """Each copy with its shard; a NULL doc_id counts as the empty string. Texts are only carried."""
     return sharding.place(docs)
 
 
