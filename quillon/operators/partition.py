@@ -79,22 +79,30 @@ def sort_by_key(df: DataFrame, *more: str, within_partitions: bool = False) -> D
     return df.sortWithinPartitions("key", *more) if within_partitions else df.sort("key", *more)
 
 
-def disorder(df: DataFrame, key: str, pos: str, block: int = 1 << 16) -> DataFrame:
+def _folded(parts: DataFrame, *by: str) -> DataFrame:
+    """(by, p, n, breaks, first, last) of stretches of positions, folded into one for each value of by; p is the first position."""
+    before = F.lag("last").over((Window.partitionBy(*by) if by else Window).orderBy("p"))
+    edge = F.when(F.col("first") < before, 1).otherwise(0)
+    return parts.withColumn("breaks", F.col("breaks") + edge).groupBy(*by).agg(
+        F.sum("n").alias("n"),
+        F.sum("breaks").alias("breaks"),
+        F.min_by("first", "p").alias("first"),
+        F.max_by("last", "p").alias("last"),
+        F.min("p").alias("p"),
+    )
+
+
+def disorder(df: DataFrame, key: str, pos: str, block: int = 1 << 16, blocks: int = 1 << 12) -> DataFrame:
     """(cnt, breaks): rows, and neighbours by pos with a falling key.
 
-    Blocks of positions are windows of their own; each block's last key joins the next block's first, so no task has all rows.
+    Blocks of positions are windows of their own, and so are groups of blocks; each stretch's last key meets the next one's first. So no
+    task has all rows, and the window over all groups has one row for each block * blocks positions.
     """
-    blocked = df.select(F.col(key).alias("k"), F.col(pos).alias("p"), F.floor(F.col(pos) / block).cast("bigint").alias("b"))
-    within = blocked.withColumn("before", F.lag("k").over(Window.partitionBy("b").orderBy("p")))
-    each = within.groupBy("b").agg(
-        F.count("*").alias("n"),
-        F.count(F.when(F.col("k") < F.col("before"), 1)).alias("breaks"),
-        F.min_by("k", "p").alias("first"),
-        F.max_by("k", "p").alias("last"),
-    )
-    after = each.withColumn("previous", F.lag("last").over(Window.orderBy("b")))
-    edge = F.when(F.col("first") < F.col("previous"), 1).otherwise(0)
-    return after.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("cnt"), F.coalesce(F.sum(F.col("breaks") + edge), F.lit(0)).cast("bigint").alias("breaks"))
+    place = lambda n: F.floor(F.col("p") / n).cast("bigint")
+    rows = df.select(F.col(pos).alias("p"), F.lit(1).alias("n"), F.lit(0).alias("breaks"), F.col(key).alias("first"), F.col(key).alias("last"))
+    each = _folded(rows.withColumn("block", place(block)), "block")
+    groups = _folded(each.withColumn("group", place(block * blocks)), "group")
+    return _folded(groups).select(F.coalesce("n", F.lit(0)).cast("bigint").alias("cnt"), F.coalesce("breaks", F.lit(0)).cast("bigint").alias("breaks"))
 
 
 def scatter(df: DataFrame, slot: Column) -> DataFrame:

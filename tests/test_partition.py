@@ -26,6 +26,7 @@ def test_radix_bits():
 def test_disorder_over_block_edges(spark):
     df = spark.createDataFrame([(p, v) for p, v in enumerate([1, 2, 2, 1, 5, 4, 4, 9])], "p long, v long")
     assert tuple(partition.disorder(df, "v", "p", block=2).first()) == (8, 2)
+    assert tuple(partition.disorder(df, "v", "p", block=1, blocks=3).first()) == (8, 2)
     assert tuple(partition.disorder(df.limit(0), "v", "p").first()) == (0, 0)
 
 
