@@ -90,3 +90,57 @@ def test_odd_rows(odd, none):
     out = licenses.scan_licenses(odd)
     assert out.count() == odd.count() and licenses.scan_licenses(none).count() == 0
     assert out.where("doc_id IN (2, 3) AND n_words = 0 AND labels = '' AND score = 0 AND first_word IS NULL").count() == 2
+
+
+def spots(run, words):
+    return [i for i in range(len(words) - len(run) + 1) if words[i : i + len(run)] == run]
+
+
+def longest_runs(words, phrases):
+    """(first word, words) of the longest runs of phrases that end at a word and don't go on, of MIN_RUN words or more."""
+    longest = [max((n for n in range(1, i + 2) if any(spots(words[i + 1 - n : i + 1], p) for p in phrases)), default=0) for i in range(len(words))] + [0]
+    return [(i + 1 - n, n) for i, n in enumerate(longest[:-1]) if n >= licenses.MIN_RUN and longest[i + 1] != n + 1]
+
+
+def all_chains(words, template, runs):
+    """(first word, last word, covered words) of every chain of anchors in a template, by plain enumeration."""
+    anchors = [(at, place, n) for at, n in runs for place in spots(words[at : at + n], template)]
+
+    def longer(first, covered, end):
+        yield first, end[0] + end[2] - 1, covered
+        for at, place, n in anchors:
+            shared = max(0, end[0] + end[2] - at, end[1] + end[2] - place)
+            if at > end[0] and place > end[1] and shared < n and at - end[0] - end[2] <= licenses.MAX_GAP:
+                yield from longer(first, covered + n - shared, (at, place, n))
+
+    for a in anchors:
+        yield from longer(a[0], a[2], a)
+
+
+def test_chains_and_scores_equal_brute_force(spark):
+    rng = random.Random(5)
+    templates = [(label, t.split()) for label, texts in licenses.TEMPLATES.items() for t in texts]
+    phrases = [t for _, t in templates] + [p.split() for p in licenses.BASE]
+    texts = []
+    for _ in range(250):
+        words = []
+        for _, own in rng.sample(templates, rng.randint(1, 2)):
+            own = list(own)
+            for _ in range(rng.choice([0, 1, 1, 2, 3])):
+                at = rng.randrange(len(own) + 1)
+                own[at : at + rng.randint(0, 2)] = rng.choices(["x", "the", "license", "4", *own], k=rng.choice([0, 1, 2, 7]))
+            words += rng.choices(["y", "of", "public"], k=rng.randint(0, 3)) + own
+        texts.append(" ".join(words))
+    scores = []
+    for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        words = texts[r.doc_id].split()
+        runs = longest_runs(words, phrases)
+        chains = {(label, first, last, min(1.0, n / len(t))) for label, t in templates for first, last, n in all_chains(words, t, runs) if n / len(t) >= licenses.COVERAGE}
+        based = {x for _, x in places(words)}
+        assert {s.label for s in r.spans} == {c[0] for c in chains}
+        assert {(s.label, s.first_word, s.last_word, s.covered) for s in r.spans} <= chains
+        assert r.labels == ",".join(sorted({c[0] for c in chains} | based))
+        assert max((s.covered for s in r.spans), default=0.0) == max((c[3] for c in chains), default=0.0)
+        assert r.score == (1.0 if based else max((c[3] for c in chains), default=0.0))
+        scores.append(r.score)
+    assert 0 < sum(s == 0 for s in scores) < 250 and any(0 < s < 1 for s in scores)
