@@ -31,8 +31,9 @@ JOIN_STRATEGIES = {
     "CRKJS": "shuffle_hash",
     "CRKJF": "shuffle_hash",
 }
-#: A side above this estimate isn't broadcast: the hint becomes shuffle_hash.
-BROADCAST_BYTES = 256 << 20
+#: A side is broadcast only within both bounds, else the hint becomes shuffle_hash: Catalyst's estimate, and rows, as the estimate is that
+#: of compressed files (2.5 bytes a row, where the driver's hash table has 36).
+BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 1 << 20
 #: A block of block_nested_loop has keys that differ in this many low bits only.
 NL_BITS = 9
 
@@ -42,9 +43,12 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES, otherwise: str | None = "shuffle_hash") -> DataFrame:
-    """A broadcast hint only where the estimate is within the limit."""
-    if estimated_bytes(df) <= limit:
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES, otherwise: str | None = "shuffle_hash", of: DataFrame | None = None) -> DataFrame:
+    """A broadcast hint only where the estimate is within the limit, and then the rows, by a job that counts them, are within BROADCAST_ROWS.
+
+    of: counted instead of df, where it has as many rows at least and is cheaper to count.
+    """
+    if estimated_bytes(df) <= limit and (df if of is None else of).count() <= BROADCAST_ROWS:
         return F.broadcast(df)
     return df.hint(otherwise) if otherwise else df
 
@@ -62,7 +66,7 @@ def hinted(r: DataFrame, s: DataFrame, strategy: str) -> tuple[DataFrame, DataFr
         case "lookup":  # the index is on the probe side
             return r, broadcast_if_small(s)
         case "unique":
-            return broadcast_if_small(r.groupBy("key").agg(F.min("payload").alias("payload"))), s
+            return broadcast_if_small(r.groupBy("key").agg(F.min("payload").alias("payload")), of=r), s
         case "shuffle_hash" | "merge" | "shuffle_replicate_nl":
             return r.hint(strategy), s
     raise ValueError(f"unknown join strategy {strategy!r}; known: {', '.join(JOIN_STRATEGIES)}")

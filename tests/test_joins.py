@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.operators import joins
 from quillon.sources import generators
@@ -50,3 +51,22 @@ def test_strategies_choose_their_operator(spark):
 def test_unknown_name(spark):
     with pytest.raises(ValueError):
         joins.equi_join(rel(spark, []), rel(spark, []), "nope")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def compressed(spark, path, n):
+    """A relation of few bytes a row in its file, which Catalyst's estimate takes for its size."""
+    spark.range(n).select(F.col("id").alias("key"), F.lit(0).cast("long").alias("payload")).coalesce(1).write.parquet(str(path))
+    return spark.read.parquet(str(path))
+
+
+def test_rows_bound_a_broadcast_where_the_estimate_is_small(spark, tmp_path, monkeypatch):
+    r, s = compressed(spark, tmp_path / "r", 3000), compressed(spark, tmp_path / "s", 3000)
+    assert "BroadcastHashJoin" in plan_of(joins.equi_join(r, s, "PHT_o"))
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 2999)
+    assert joins.estimated_bytes(r) < joins.BROADCAST_BYTES
+    out = joins.equi_join(r, s, "PHT_o", materialize=False)
+    assert "BroadcastExchange" not in plan_of(out) and out.first().cnt == 3000
