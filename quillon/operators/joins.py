@@ -63,8 +63,8 @@ def hinted(r: DataFrame, s: DataFrame, strategy: str) -> tuple[DataFrame, DataFr
     match strategy:
         case "broadcast":
             return broadcast_if_small(r), s
-        case "lookup":  # the index is on the probe side
-            return r, broadcast_if_small(s)
+        case "lookup":  # the index is on the probe side: a hash table, or above the bounds its sorted rows
+            return r, broadcast_if_small(s, otherwise="merge")
         case "unique":
             return broadcast_if_small(r.groupBy("key").agg(F.min("payload").alias("payload")), of=r), s
         case "shuffle_hash" | "merge" | "shuffle_replicate_nl":

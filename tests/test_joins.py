@@ -70,3 +70,11 @@ def test_rows_bound_a_broadcast_where_the_estimate_is_small(spark, tmp_path, mon
     assert joins.estimated_bytes(r) < joins.BROADCAST_BYTES
     out = joins.equi_join(r, s, "PHT_o", materialize=False)
     assert "BroadcastExchange" not in plan_of(out) and out.first().cnt == 3000
+
+
+def test_large_index_is_sorted_rows(spark, tmp_path, monkeypatch):
+    r, s = compressed(spark, tmp_path / "r", 10), compressed(spark, tmp_path / "s", 3000)
+    assert "BroadcastHashJoin" in plan_of(joins.equi_join(r, s, "INL"))
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 2999)
+    out = joins.equi_join(r, s, "INL", materialize=False)
+    assert "SortMergeJoin" in plan_of(out) and "BroadcastExchange" not in plan_of(out) and out.first().cnt == 10
