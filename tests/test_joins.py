@@ -78,3 +78,11 @@ def test_large_index_is_sorted_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 2999)
     out = joins.equi_join(r, s, "INL", materialize=False)
     assert "SortMergeJoin" in plan_of(out) and "BroadcastExchange" not in plan_of(out) and out.first().cnt == 10
+
+
+def test_unique_build_is_bounded_by_the_rows_it_is_made_of(spark, tmp_path, monkeypatch):
+    r, s = compressed(spark, tmp_path / "r", 3000), compressed(spark, tmp_path / "s", 3000)
+    assert "BroadcastHashJoin" in plan_of(joins.equi_join(r, s, "CHT"))
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 2999)
+    out = joins.checksum(joins.equi_join(r, s, "CHT"))
+    assert "BroadcastExchange" not in plan_of(out) and tuple(out.first()) == (3000, 0)
