@@ -1,3 +1,4 @@
+import pytest
 from oracle import compare
 
 from quillon.operators import joins
@@ -23,3 +24,11 @@ def test_blocks_give_the_bag_join(spark):
     assert joins.block_nested_loop(frame(r), frame(s), materialize=False).first().cnt == out.count()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "[block" in plan and "[key" not in plan.split("ShuffledHashJoin")[1].split("\n")[0].split("Inner")[0]
+
+
+@pytest.mark.parametrize("name", ["join_checksum"])
+def test_queries_broadcast_nothing_above_the_bound_of_rows(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1000)  # sf0.001 has 1,500 orders
+    out = REGISTRY.queries[name](spark, sf)
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert compare(out, REGISTRY.oracles[name], sf) > 0
