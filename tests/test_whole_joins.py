@@ -26,7 +26,7 @@ def test_blocks_give_the_bag_join(spark):
     assert "[block" in plan and "[key" not in plan.split("ShuffledHashJoin")[1].split("\n")[0].split("Inner")[0]
 
 
-@pytest.mark.parametrize("name", ["join_checksum", "join_count_all_strategies"])
+@pytest.mark.parametrize("name", ["join_checksum", "join_count_all_strategies", "join_count_all_strategies_whole"])
 def test_queries_broadcast_nothing_above_the_bound_of_rows(spark, sf, monkeypatch, name):
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 1000)  # sf0.001 has 1,500 orders
     out = REGISTRY.queries[name](spark, sf)
