@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +36,8 @@ LONG = 4096
 BLOCK, BLOCK_SHINGLES = 1500, 2_000_000
 #: Entries, of those that may be partners, up to which lists are merged by a heap of Python; above, by one sort.
 HEAP = 4096
+#: Candidates at once whose overlaps all_partners counts.
+MARKED = 4096
 #: Classes of a family above which its lists are taken from whole sets.
 LOOSE = 4
 #: T of small classes: all of the overlap up to this number.
@@ -238,8 +239,8 @@ def merged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(entries, np.int64), np.array(counts, np.int64)
 
 
-def linked_pairs(sets: list[np.ndarray], group: np.ndarray, every: bool = False) -> Iterator[tuple[int, int]]:
-    """Links (i, j) that join what is linked, which changes group, or with every=True all links whatever the groups are.
+def linked_pairs(sets: list[np.ndarray], group: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links (i, j) that join what is linked, which changes group.
 
     A query needs T = ceil(0.8 n) occurrences in its n lists, so T - 1 of the longest are skipped and the others merged; every entry is a
     candidate, and its occurrences in the long lists are found by binary search in its set.
@@ -265,7 +266,7 @@ def linked_pairs(sets: list[np.ndarray], group: np.ndarray, every: bool = False)
             continue
         # Partners that come before the query, aren't too small, and aren't joined with it: each pair is met once.
         flat = np.concatenate(lists)
-        ok = (rank[flat] < rank[q]) & (size[flat] * 5 >= 4 * n) & (every | (group[flat] != group[q]))
+        ok = (rank[flat] < rank[q]) & (size[flat] * 5 >= 4 * n) & (group[flat] != group[q])
         if not ok.any():
             continue
         ends = np.cumsum(ok)[np.cumsum([len(x) for x in lists]) - 1]
@@ -273,7 +274,7 @@ def linked_pairs(sets: list[np.ndarray], group: np.ndarray, every: bool = False)
         long = np.sort(long)
         for j in np.argsort(-counts, kind="stable").tolist():
             p, theirs = int(found[j]), ids[found[j]]
-            if not every and group[p] == group[q]:
+            if group[p] == group[q]:
                 continue
             at = np.searchsorted(theirs, long)
             overlap = int(counts[j]) + int((theirs[np.minimum(at, len(theirs) - 1)] == long).sum())
@@ -282,34 +283,97 @@ def linked_pairs(sets: list[np.ndarray], group: np.ndarray, every: bool = False)
                 yield p, q
 
 
+def all_partners(sets: list[np.ndarray], side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(j, all i linked with j that come before it by size): each link once, or with side only links between different sides.
+
+    Candidates are the entries of the lists that linked_pairs merges. Their overlaps are counted together, by marking the query's shingles
+    and summing the marks of each candidate's set, so that a pair costs as many steps as its set has shingles, and no Python object.
+    """
+    size = np.array([len(s) for s in sets])
+    order = np.argsort(size, kind="stable")
+    size, starts = size[order], np.append(0, np.cumsum(size[order]))
+    side = None if side is None else side[order]
+    known, number = np.unique(np.concatenate([sets[k] for k in order.tolist()]), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)
+    entries = owner[np.argsort(number, kind="stable")]  # each list by size of its sets
+    df = np.bincount(number, minlength=len(known))
+    lists = np.append(0, np.cumsum(df))
+    marks, candidate = np.zeros(len(known), np.uint8), np.zeros(len(sets), bool)
+    for q in range(1, len(sets)):
+        mine, n = number[starts[q] : starts[q + 1]], int(size[q])
+        short = mine[np.argsort(df[mine], kind="stable")[: n - (4 * n + 4) // 5 + 1]]
+        candidate[:q] = False
+        for t in short.tolist():
+            if df[t] > 1:
+                candidate[entries[lists[t] : lists[t + 1]]] = True
+        found = np.flatnonzero(candidate[:q])
+        found = found[size[found] * 5 >= 4 * n]
+        if side is not None:
+            found = found[side[found] != side[q]]
+        if not len(found):
+            continue
+        marks[mine] = 1
+        overlap = np.concatenate([_marked(marks, number, starts, size, found[k : k + MARKED]) for k in range(0, len(found), MARKED)])
+        marks[mine] = 0
+        found = found[100 * overlap >= 80 * (n + size[found] - overlap)]
+        if len(found):
+            yield int(order[q]), order[found]
+
+
+def _marked(marks: np.ndarray, number: np.ndarray, starts: np.ndarray, size: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """How many of each set's shingles are marked; sets ascend."""
+    count, (a, b) = size[sets], (int(sets[0]), int(sets[-1]) + 1)
+    if starts[b] - starts[a] <= 3 * count.sum():  # a stretch is summed faster than its parts are put together
+        return np.add.reduceat(marks[number[starts[a] : starts[b]]], starts[a:b] - starts[a], dtype=np.int64)[sets - a]
+    first = np.cumsum(count) - count
+    return np.add.reduceat(marks[number[np.repeat(starts[sets] - first, count) + np.arange(count.sum())]], first, dtype=np.int64)
+
+
 def divide_skip(sets: list[np.ndarray], group: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links (i, j) that join what is linked, and each set's group in the end. What is in one group from the start counts as joined."""
     group = np.arange(len(sets)) if group is None else np.unique(group, return_inverse=True)[1]
     return list(linked_pairs(sets, group)), group
 
 
-def _all_linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (family, i, j, own, class, shingles) sorted by task (family, i, j): all links (a, b) between blocks i and j, or in block i = j."""
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], np.ndarray, Iterator[tuple[int, np.ndarray]]]]:
+    """Of rows (family, i, j, own, class, copies, shingles) sorted by task (family, i, j): each task's classes, their copies, and all links
+    between blocks i and j, or in block i = j, as all_partners gives them."""
     task, members = None, {}
 
-    def found() -> Iterator[pa.RecordBatch]:
-        classes, own, sets = list(members), [o for o, _ in members.values()], [x for _, x in members.values()]
-        pairs = linked_pairs(sets, np.arange(len(sets)), every=True)
-        pairs = ((classes[p], classes[q]) for p, q in pairs if task[1] == task[2] or own[p] != own[q])
-        while part := list(islice(pairs, 50_000)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part, strict=True)], names=["a", "b"])
+    def found() -> tuple[list[int], np.ndarray, Iterator[tuple[int, np.ndarray]]]:
+        own, copies, sets = zip(*members.values(), strict=True)
+        return list(members), np.array(copies, np.int64), all_partners(list(sets), None if task[1] == task[2] else np.array(own))
 
     for batch in batches:
-        keys, lists = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)), batch.column(5)
-        for row, (family, i, j, own, class_) in enumerate(keys):
+        keys, lists = list(zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)), batch.column(6)
+        for row, (family, i, j, own, class_, copies) in enumerate(keys):
             if (family, i, j) != task:
                 if len(members) > 1:
-                    yield from found()
+                    yield found()
                 task, members = (family, i, j), {}
             if class_ not in members:  # copies of a class from several tasks count once
-                members[class_] = own, lists[row].values.to_numpy().view(np.uint64).copy()
+                members[class_] = own, copies, lists[row].values.to_numpy().view(np.uint64).copy()
     if len(members) > 1:
-        yield from found()
+        yield found()
+
+
+def _all_linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links (a, b) of each task."""
+    for classes, _, partners in _met(batches):
+        ids = np.array(classes, np.int64)
+        for q, p in partners:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(np.full(len(p), ids[q]))], names=["a", "b"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, others): the rows of the classes that a task's links lead to. A task gives as many rows as it has linked classes."""
+    for classes, copies, partners in _met(batches):
+        others = np.zeros(len(classes), np.int64)
+        for q, p in partners:
+            others[q] += copies[p].sum()
+            others[p] += copies[q]
+        some = others > 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(classes, np.int64)[some]), pa.array(others[some])], names=["class", "others"])
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -513,23 +577,31 @@ def _has_order(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.MapType, T.VariantType))
 
 
+def _meetings(members: DataFrame) -> DataFrame:
+    """Members (family, blocks, class, n, copies, shingles) dealt to tasks (family, i, j): each block of a family meets each other."""
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return _by(met.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "copies", "shingles"), "family", "i", "j")
+
+
 def links(docs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """(a, b): every pair of different classes whose similarity is 0.8 or more, once, in any order. Each block of a family meets each other."""
+    """(a, b): every pair of different classes whose similarity is 0.8 or more, once, in any order."""
     with Scratch(docs.sparkSession) as scratch:
-        dealt = members_of(docs, _rows(docs) if rows is None else rows, scratch).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-        met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        tasks = met.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "shingles")
-        return pinned(_by(tasks, "family", "i", "j").mapInArrow(_all_linked, "a bigint, b bigint"))
+        members = members_of(docs, _rows(docs) if rows is None else rows, scratch).withColumn("copies", F.lit(1).cast("bigint"))
+        return pinned(_meetings(members).mapInArrow(_all_linked, "a bigint, b bigint"))
 
 
 def count_links(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_links) for each row: how many other rows it is linked with, copies included."""
+    """(doc_id, n_links) for each row: how many other rows it is linked with, copies included.
+
+    Links are counted where they are found: pairs grow with the square of a group, what is moved and kept does not.
+    """
     rows = pinned(_rows(docs))
     copies = pinned(rows.where("class <> 0").groupBy("class").agg(F.count("*").alias("copies")))
-    found = links(docs, rows)
-    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(copies, F.col("b") == F.col("class")).groupBy("a").agg(F.sum("copies").alias("others"))
-    counted = copies.join(others, F.col("class") == F.col("a"), "left").select("class", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    with Scratch(docs.sparkSession) as scratch:
+        counted = _meetings(members_of(docs, rows, scratch).join(copies, "class")).mapInArrow(_counted, "class bigint, others bigint")
+        others = pinned(counted.groupBy("class").agg(F.sum("others").alias("others")))
+    counted = copies.join(others, "class", "left").select("class", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     return rows.join(counted, "class", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
