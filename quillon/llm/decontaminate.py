@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import ALNUM, find_words, looked_up, mix, rolled, text_bytes, text_parts
+from quillon.llm.common import ALNUM, find_words, kept_rows, looked_up, mix, rolled, text_bytes, text_parts
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, BLOCKS, RADIUS = 128, 8, 31
@@ -281,7 +281,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 keep[[r for r, _ in shared.value.matches(batch.column(place))]] = False
-                yield batch.filter(pa.array(keep))
+                yield from kept_rows(batch, keep, place)
 
         return kept
 

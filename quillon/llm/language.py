@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Words, find_words, looked_up, text_bytes, text_parts
+from quillon.llm.common import Words, find_words, kept_rows, looked_up, text_bytes, text_parts
 from quillon.llm.features import LETTERS, TABLE_BITS, affix_keys, gram_rows, held_out, labelled_sample, row, word_sums
 
 UNKNOWN = "und"
@@ -286,6 +286,6 @@ def keep_known(docs: DataFrame, model: Model | None = None, least: float = LEAST
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([p != UNKNOWN and s >= least for p, s, _ in predict(shared.value, batch.column(place))], pa.bool_()))
+            yield from kept_rows(batch, np.array([p != UNKNOWN and s >= least for p, s, _ in predict(shared.value, batch.column(place))], bool), place)
 
     return docs.mapInArrow(kept, docs.schema)
